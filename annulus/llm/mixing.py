@@ -73,8 +73,8 @@ def mix(docs: DataFrame, *, weights=cyclic_weights, max_epochs: float = 3.0, see
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(F.col("source")).alias("key"), order.alias("order"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
     rows = rows.withColumn("block", F.substring("order", 1, _BLOCK_DIGITS))
     # one row per source and block: what the prefix sums need, and no more
-    blocks = cut(rows.groupBy("key", "block").agg(F.first("source").alias("source"), F.sum("size").alias("block_size")))
-    totals = blocks.groupBy("key").agg(F.first("source").alias("source"), F.sum("block_size").alias("size"))
+    blocks = cut(rows.groupBy("key", "block").agg(F.sum("size").alias("block_size")))
+    totals = blocks.groupBy("key").agg(F.sum("block_size").alias("size")).withColumn("source", F.when(F.col("key") != "n", F.expr("substring(key, 2)")))
     weighted = weights(totals) if callable(weights) else totals.join(weights.select(F.col("source").alias("w_source"), "weight"), F.col("source").eqNullSafe(F.col("w_source")), "left")
     targets = water_fill(cut(weighted.select("key", "size", "weight")), max_epochs).select("key", F.col("size").alias("source_size"), "target")
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
