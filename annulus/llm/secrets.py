@@ -113,12 +113,16 @@ def findings(docs: DataFrame, ledger: DataFrame, versions: tuple[str, ...] = (BA
     return docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(found, "blob", "left")
 
 
+def _is(kind: str):
+    return lambda x: x == F.lit(kind)
+
+
 def report(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     found = findings(docs, ledger)
     none = F.array().cast("array<struct<start: bigint, rank: bigint, end: bigint, kind: string>>")
     base, spans = F.coalesce("base", none), F.coalesce("spans", none)
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(F.transform(base, lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
