@@ -39,7 +39,8 @@ def terms(text: Column) -> Column:
 
 def simhash(texts: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """``key`` and ``fp`` (signed long) from rows of ``key`` and ``text``; blank texts give no row."""
-    voted = texts.select(*key, F.explode(terms(F.col("text"))).alias("term")).where("term <> ''")
+    # outer: for a plain explode the optimiser adds a filter on the array, which would be built twice
+    voted = texts.select(*key, F.explode_outer(terms(F.col("text"))).alias("term")).where("term <> ''")
     voted = voted.select(*key, F.xxhash64("term").alias("h"), F.length("term").cast("long").alias("weight"))
     lane = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES)) * F.col("weight")).alias(f"v{j}") for j in range(32)]
     sums = voted.groupBy(*key).agg(F.sum("weight").alias("total"), *lane)

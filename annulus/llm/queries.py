@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, neardup, quality, secrets
+from . import bpe, fingerprint, licenses, neardup, quality, secrets
 from .common import table
 from .mixing import mix
 
@@ -47,6 +47,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(docs, secrets.update(docs))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_fingerprints": op2_fingerprints,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op8_neardup": op8_neardup,
     "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 
 OP1_SQL = r"""
