@@ -113,7 +113,8 @@ def _verified(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     if pairs.count() <= BROADCAST_PAIRS:
         by_id = F.broadcast(by_id)
     hit = docs.select("doc_id", "text").join(by_id, F.col("doc_id").eqNullSafe(F.col("id")))
-    own = hit.select("doc_id", _shingles(_words(F.col("text"))).alias("own"), "wanted")
+    # in two steps: inside a lambda, the expression of the words would be evaluated for each shingle
+    own = hit.select("doc_id", _words(F.col("text")).alias("words"), "wanted").select("doc_id", _shingles(F.col("words")).alias("own"), "wanted")
     each = own.select("doc_id", "own", F.explode("wanted").alias("t"))
     share = F.size(F.array_intersect("own", "t.of")) / F.size("t.of")
     return each.select("doc_id", F.col("t.template_id").alias("template_id"), share.alias("containment")).where(F.col("containment") >= F.lit(least))
