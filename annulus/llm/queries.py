@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, licenses, neardup, quality, secrets, topk, urls
+from . import bpe, fingerprint, licenses, neardup, quality, repeats, secrets, topk, urls
 from .common import table
 from .mixing import mix
 
@@ -50,6 +50,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_repeats": op7_repeats,
     "op8_neardup": op8_neardup,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
