@@ -1,6 +1,510 @@
-"""Every registered query of the search and metrics operators, with the SQL each must equal."""
+"""Every registered query of the search and metrics operators, with the SQL that each must equal.
+
+Searches ask for every vector whose id is divisible by 100, against the whole table.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import time
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import SearchConfig
+from ..functions.distance import inner_product, ip_distance, rounded
+from ..operators import evaluate, hnsw, kmeans, metrics, partition, search, topk
+from ..sources import fbin, index_store, run_records
+from ..sources.scratch import scratch_path
+from .oracle import ORACLE_SQL as ORACLE_SQL
+
+CONFIG = SearchConfig()
+SWEEP = (1, 2, 4, 8, 16)
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir).where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+
+
+@lru_cache(maxsize=8)
+def _trained(application: str, sf_dir: str, nlist: int, iterations: int) -> tuple[np.ndarray, ...]:
+    spark = SparkSession.getActiveSession()
+    return tuple(kmeans.train(base(spark, sf_dir), nlist, iterations, CONFIG.train))
+
+
+def trained(spark: SparkSession, sf_dir: str, nlist: int = CONFIG.nlist, iterations: int = CONFIG.iterations) -> tuple[np.ndarray, ...]:
+    """Centroids before and after each iteration, trained once for a table: as many rows as lists."""
+    return _trained(spark.sparkContext.applicationId, sf_dir, nlist, iterations)
+
+
+def assigned(spark: SparkSession, sf_dir: str, nlist: int = CONFIG.nlist) -> DataFrame:
+    return kmeans.assign(base(spark, sf_dir), trained(spark, sf_dir, nlist)[-1])
+
+
+def probed(spark: SparkSession, sf_dir: str, nprobe: int = CONFIG.nprobe) -> DataFrame:
+    return kmeans.probes(asked(spark, sf_dir), trained(spark, sf_dir)[-1], nprobe)
+
+
+def out(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("dist", rounded(F.col("dist")))
+
+
+# ---- scans and distances
+
+
+@query
+def vec_scan(spark, sf_dir):
+    v = F.col("embedding").cast("array<double>")
+    return base(spark, sf_dir).select("vec_id", F.size("embedding").alias("dim"), rounded(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query
+def vec_shape_check(spark, sf_dir):
+    b = evaluate.shape(base(spark, sf_dir)).select(F.col("rows").alias("base_rows"), F.col("dim_min").alias("base_dim_min"), F.col("dim_max").alias("base_dim_max"))
+    q = evaluate.shape(asked(spark, sf_dir), "qv").select(F.col("rows").alias("query_rows"), F.col("dim_min").alias("query_dim_min"), F.col("dim_max").alias("query_dim_max"))
+    return b.crossJoin(q)
+
+
+@query
+def fbin_roundtrip(spark, sf_dir):
+    """Vectors as rows of a binary matrix, one file per part of the table, read back by the binary reader."""
+    path = scratch_path(spark, "fbin")
+    rows = base(spark, sf_dir)
+
+    def pack(batches):
+        import pandas as pd
+
+        for batch in batches:
+            if len(batch):
+                m = np.stack(batch["embedding"].to_numpy()).astype("<f4")
+                yield pd.DataFrame({"first": [int(batch["vec_id"].iloc[0])], "ids": [batch["vec_id"].to_numpy(np.int64)], "content": [np.array(m.shape, "<u4").tobytes() + m.tobytes()]})
+
+    blobs = rows.mapInPandas(pack, "first long, ids array<long>, content binary")
+    blobs.write.parquet(path)
+    back = spark.read.parquet(path)
+    found = fbin.parsed(back.select(F.col("first").cast("string").alias("path"), "content"))
+    ids = back.select(F.col("first").cast("string").alias("path"), F.posexplode("ids").alias("at", "vec_id"))
+    joined = found.join(ids.withColumn("at", F.col("at").cast("long")), ["path", "at"])
+    v = F.col("embedding").cast("array<double>")
+    return joined.select("vec_id", F.size("embedding").alias("dim"), rounded(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+def _pairs(spark, sf_dir):
+    """Each query with every vector of its label."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
+    return e.join(q, "label").select("qid", "vec_id", "qv", "embedding")
+
+
+@query
+def inner_product_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("qid", "vec_id", rounded(inner_product(F.col("qv"), F.col("embedding"))).alias("ip"))
+
+
+@query
+def ip_distance_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("qid", "vec_id", rounded(ip_distance(F.col("qv"), F.col("embedding"))).alias("dist"))
+
+
+QUERIES["ip_distance"] = QUERIES.pop("ip_distance_pairs")
+
+
+# ---- exact search and top-k
+
+
+@query
+def knn_exact(spark, sf_dir):
+    return out(search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k))
+
+
+@query
+def ground_truth(spark, sf_dir):
+    return out(search.exact(base(spark, sf_dir), asked(spark, sf_dir), 100))
+
+
+@query
+def topk_as_array(spark, sf_dir):
+    hits = topk.as_array(search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k))
+    return hits.select("qid", F.array_join(F.transform("hits", lambda h: h["vec_id"].cast("string")), ",").alias("ids"))
+
+
+@query
+def topk_pad_merge(spark, sf_dir):
+    """The local results of three shards, padded to k each, merged; then padded to more than there can be."""
+    q, b = asked(spark, sf_dir), base(spark, sf_dir)
+    parts = None
+    for r in range(3):
+        some = search.exact(b.where(F.pmod("vec_id", F.lit(3)) == r), q, CONFIG.k)
+        some = topk.padded(some, q, CONFIG.k)
+        parts = some if parts is None else parts.unionByName(some)
+    return out(topk.padded(topk.merge(parts, CONFIG.k), q, CONFIG.k + 5))
+
+
+# ---- quantiser
+
+
+@query
+def kmeans_sample(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return b.join(kmeans.sample_ids(spark, b.count(), CONFIG.train), "vec_id").select("vec_id")
+
+
+@query
+def kmeans_seed(spark, sf_dir):
+    return kmeans.seed_ids(spark, base(spark, sf_dir).count(), CONFIG.nlist, CONFIG.train)
+
+
+def _centroids(spark, c):
+    return kmeans.centroid_table(spark, c).select("list_id", F.posexplode("centroid").alias("pos", "x")).select("list_id", "pos", rounded(F.col("x")).alias("x"))
+
+
+@query
+def kmeans_iter(spark, sf_dir):
+    return _centroids(spark, trained(spark, sf_dir)[1])
+
+
+@query
+def kmeans_train(spark, sf_dir):
+    return _centroids(spark, trained(spark, sf_dir)[-1])
+
+
+@query
+def kmeans_empty_reseed(spark, sf_dir):
+    """As many lists as make seeds collide, so that some lose all vectors and start anew."""
+    return assigned(spark, sf_dir, 32).select("vec_id", "list_id")
+
+
+@query
+def ivf_assign(spark, sf_dir):
+    return assigned(spark, sf_dir).select("vec_id", "list_id")
+
+
+# ---- inverted lists
+
+
+def _sharded(spark, sf_dir):
+    n = base(spark, sf_dir).count()
+    return assigned(spark, sf_dir).withColumn("shard", partition.block_id(F.col("vec_id"), n, CONFIG.shards))
+
+
+@query
+def ivf_list_sizes(spark, sf_dir):
+    return kmeans.list_sizes(assigned(spark, sf_dir), CONFIG.nlist)
+
+
+@query
+def ivf_offsets(spark, sf_dir):
+    return kmeans.offsets(kmeans.list_sizes(assigned(spark, sf_dir), CONFIG.nlist))
+
+
+@query
+def ivf_build(spark, sf_dir):
+    return kmeans.inverted_lists(_sharded(spark, sf_dir), ("shard",)).select("shard", "list_id", "pos", "vec_id")
+
+
+@query
+def ivf_build_list(spark, sf_dir):
+    """Lists dealt whole to shards; every vector is assigned once."""
+    lists = kmeans.inverted_lists(assigned(spark, sf_dir))
+    return lists.select(partition.contiguous_list(F.col("list_id"), CONFIG.nlist, CONFIG.shards).alias("shard"), "list_id", "pos", "vec_id")
+
+
+@query
+def ivf_csr_invariants(spark, sf_dir):
+    a = assigned(spark, sf_dir)
+    return index_store.csr_invariants(kmeans.inverted_lists(a), kmeans.list_sizes(a, CONFIG.nlist))
+
+
+@query
+def idx_centroids_roundtrip(spark, sf_dir):
+    digest, path = CONFIG.digest(table=sf_dir), scratch_path(spark, "centroids")
+    index_store.save(kmeans.centroid_table(spark, trained(spark, sf_dir)[-1]), path, digest)
+    back = index_store.load(spark, path, digest)
+    return back.select("list_id", F.posexplode("centroid").alias("pos", "x")).select("list_id", "pos", rounded(F.col("x")).alias("x"))
+
+
+@query
+def idx_ivf_roundtrip(spark, sf_dir):
+    digest = CONFIG.digest(table=sf_dir)
+    path = index_store.index_path(scratch_path(spark, "ivf"), "lists", digest, nlist=CONFIG.nlist, shards=CONFIG.shards)
+    index_store.save(kmeans.inverted_lists(assigned(spark, sf_dir)), path, digest, "list_id")
+    return index_store.load(spark, path, digest).select("list_id", "pos", "vec_id")
+
+
+# ---- sharding
+
+
+def _owned(spark, sf_dir, strategy):
+    b = base(spark, sf_dir).select("vec_id")
+    return partition.owned(b, strategy, b.count(), CONFIG.shards)
+
+
+@query
+def partition_block_id(spark, sf_dir):
+    return _owned(spark, sf_dir, "block-id")
+
+
+@query
+def partition_cyclic(spark, sf_dir):
+    return _owned(spark, sf_dir, "cyclic")
+
+
+@query
+def partition_random_hash(spark, sf_dir):
+    return _owned(spark, sf_dir, "random-hash")
+
+
+@query
+def partition_contiguous_list(spark, sf_dir):
+    sizes = kmeans.list_sizes(assigned(spark, sf_dir), CONFIG.nlist)
+    return sizes.withColumn("shard", partition.contiguous_list(F.col("list_id"), CONFIG.nlist, CONFIG.shards))
+
+
+@query
+def partition_greedy_list(spark, sf_dir):
+    return partition.greedy_list(kmeans.list_sizes(assigned(spark, sf_dir), CONFIG.nlist), CONFIG.shards)
+
+
+@query
+def partition_work_balance(spark, sf_dir):
+    found = None
+    for name in ("block-id", "cyclic", "random-hash"):
+        one = partition.work_balance(_owned(spark, sf_dir, name), CONFIG.shards).withColumn("strategy", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+# ---- pruned search
+
+
+@query
+def probe_select(spark, sf_dir):
+    return probed(spark, sf_dir).select("qid", "list_id", "probe_rank", rounded(F.col("dist")).alias("dist"))
+
+
+@query
+def ivf_candidates(spark, sf_dir):
+    return search.candidates(assigned(spark, sf_dir), probed(spark, sf_dir))
+
+
+@query
+def ivf_candidate_count(spark, sf_dir):
+    """From the sizes of the lists alone."""
+    sizes = kmeans.list_sizes(assigned(spark, sf_dir), CONFIG.nlist)
+    return probed(spark, sf_dir).join(sizes, "list_id").groupBy("qid").agg(F.sum("list_size").alias("candidates"))
+
+
+@query
+def ivf_search(spark, sf_dir):
+    return out(search.ivf(kmeans.inverted_lists(assigned(spark, sf_dir)), probed(spark, sf_dir), CONFIG.k))
+
+
+def _local(spark, sf_dir):
+    return search.ivf(kmeans.inverted_lists(_sharded(spark, sf_dir), ("shard",)), probed(spark, sf_dir), CONFIG.k, ("shard",))
+
+
+@query
+def shard_local_topk(spark, sf_dir):
+    return out(_local(spark, sf_dir))
+
+
+@query
+def shard_global_merge(spark, sf_dir):
+    return out(topk.merge(_local(spark, sf_dir), CONFIG.k).select("qid", "rank", "dist", "vec_id"))
+
+
+@query
+def ivf_search_sharded(spark, sf_dir):
+    """Lists dealt to shards by the greedy rule, searched there, merged."""
+    a = assigned(spark, sf_dir)
+    owners = partition.greedy_list(kmeans.list_sizes(a, CONFIG.nlist), CONFIG.shards).select("list_id", "shard")
+    lists = kmeans.inverted_lists(a).join(F.broadcast(owners), "list_id")  # one row per list
+    return out(topk.merge(search.ivf(lists, probed(spark, sf_dir), CONFIG.k, ("shard",)), CONFIG.k).select("qid", "rank", "dist", "vec_id"))
+
+
+@query
+def recall_at_k(spark, sf_dir):
+    found = search.ivf(kmeans.inverted_lists(assigned(spark, sf_dir)), probed(spark, sf_dir), CONFIG.k)
+    truth = search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k)
+    return evaluate.recall(found, truth, CONFIG.k)
+
+
+@query
+def recall_sweep(spark, sf_dir):
+    """Recall at several numbers of probes, in one job: a probe serves every setting that reaches its rank."""
+    grid = spark.createDataFrame([(n,) for n in SWEEP], "nprobe int")
+    most = probed(spark, sf_dir, max(SWEEP)).join(F.broadcast(grid), F.col("probe_rank") <= F.col("nprobe"))
+    lists = kmeans.inverted_lists(assigned(spark, sf_dir))
+    # a query under a setting is a query of its own
+    n = F.lit(len(SWEEP))
+    at = F.array_position(F.array(*map(F.lit, SWEEP)), F.col("nprobe")) - 1
+    hits = search.ivf(lists, most.withColumn("qid", F.col("qid") * n + at), CONFIG.k)
+    hits = hits.withColumns({"nprobe": F.get(F.array(*map(F.lit, SWEEP)), F.pmod("qid", n).cast("int")), "qid": F.floor(F.col("qid") / n).cast("long")})
+    truth = search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k)
+    return evaluate.recall(hits, truth, CONFIG.k, ("nprobe",)).groupBy("nprobe").agg(rounded(F.avg("recall")).alias("recall"))
+
+
+# ---- graphs
+
+
+def _graphs(spark, sf_dir, shards):
+    b = base(spark, sf_dir)
+    n = b.count()
+    sharded = partition.owned(b, "random-hash", n, hnsw.shards_for(n, shards))
+    return hnsw.build(sharded, CONFIG.m, CONFIG.ef_construction)
+
+
+@query
+def hnsw_search(spark, sf_dir):
+    return out(hnsw.search(_graphs(spark, sf_dir, 1), asked(spark, sf_dir), CONFIG.k, CONFIG.ef_search))
+
+
+@query
+def hnsw_search_sharded(spark, sf_dir):
+    return out(hnsw.search(_graphs(spark, sf_dir, CONFIG.shards), asked(spark, sf_dir), CONFIG.k, CONFIG.ef_search))
+
+
+@query
+def hnsw_roundtrip(spark, sf_dir):
+    digest, path = CONFIG.digest(table=sf_dir, kind="graph"), scratch_path(spark, "graphs")
+    index_store.save(_graphs(spark, sf_dir, CONFIG.shards), path, digest)
+    return out(hnsw.search(index_store.load(spark, path, digest), asked(spark, sf_dir), CONFIG.k, CONFIG.ef_search))
+
+
+# ---- run records: line items stand in for runs
+
+
+KEYS, STAGES = ["group", "partition", "np"], ["latency_us", "gather_us", "search_max_us"]
+
+
+def runs(spark, sf_dir):
+    price, off = F.col("l_extendedprice"), F.col("l_discount")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("group"), F.when(F.col("l_linestatus") == "F", "block-id").otherwise("cyclic").alias("partition"),
+        F.col("l_linenumber").cast("long").alias("np"), price.alias("latency_us"), (price * F.col("l_tax")).alias("bcast_us"), (price * (1 - off)).alias("search_max_us"),
+        (F.col("l_quantity") * 20).alias("gather_us"), (price * off).alias("merge_us"), F.col("l_suppkey").alias("node"),
+    )
+
+
+def _means(spark, sf_dir, keys=KEYS):
+    return metrics.summary(runs(spark, sf_dir), keys, STAGES)
+
+
+@query
+def metrics_read(spark, sf_dir):
+    """Records written as CSV and read again with their types."""
+    path, some = scratch_path(spark, "records"), runs(spark, sf_dir)
+    run_records.append(some, path)
+    back = spark.read.schema(some.schema).option("header", True).csv(path)
+    return back.groupBy("group", "np").agg(F.count(F.lit(1)).alias("runs"), rounded(F.sum("latency_us"), 2).alias("latency_us"))
+
+
+@query
+def metrics_summary(spark, sf_dir):
+    return metrics.counted_summary(runs(spark, sf_dir), [*KEYS, "node"], STAGES)
+
+
+@query
+def metrics_mean_std(spark, sf_dir):
+    return metrics.mean_std(runs(spark, sf_dir), KEYS, STAGES)
+
+
+@query
+def metrics_outliers(spark, sf_dir):
+    return metrics.outliers(runs(spark, sf_dir), [*KEYS, "node"]).select("run_id", *KEYS, "node", "latency_us", "reasons", "removed")
+
+
+@query
+def metrics_speedup(spark, sf_dir):
+    return metrics.speedup(_means(spark, sf_dir), ["group", "partition"], "np", "latency_us_mean").select(*KEYS, "speedup", "efficiency")
+
+
+@query
+def metrics_breakdown(spark, sf_dir):
+    return metrics.breakdown(runs(spark, sf_dir)).groupBy(*KEYS).agg(rounded(F.avg("other_us"), 4).alias("other_us"))
+
+
+@query
+def metrics_comm_ratio(spark, sf_dir):
+    return metrics.comm_ratio(runs(spark, sf_dir)).groupBy(*KEYS).agg(rounded(F.avg("comm_pct"), 4).alias("comm_pct"))
+
+
+@query
+def metrics_compare(spark, sf_dir):
+    means = metrics.summary(runs(spark, sf_dir), ["partition", "np"], STAGES).withColumn("label", F.col("np").cast("string"))
+    return metrics.compare(means.where("partition = 'block-id'"), means.where("partition = 'cyclic'"), "label", "latency_us_mean")
+
+
+@query
+def metrics_baseline_align(spark, sf_dir):
+    every = metrics.summary(runs(spark, sf_dir), ["group", "np"], ["latency_us"]).withColumnRenamed("latency_us_mean", "latency_us")
+    baseline = every.where(F.col("group") == "N").select("np", F.col("latency_us").alias("baseline_latency_us"))
+    return metrics.baseline_align(every.drop("runs"), baseline, ["np"], "latency_us")
+
+
+@query
+def metrics_pick(spark, sf_dir):
+    return metrics.pick(_means(spark, sf_dir), group="R", np=4)
+
+
+@query
+def metrics_best_config(spark, sf_dir):
+    return metrics.best(_means(spark, sf_dir), "latency_us_mean", KEYS)
+
+
+@query
+def metrics_partition_order(spark, sf_dir):
+    return metrics.ordered(_means(spark, sf_dir), "partition", ["cyclic", "block-id"]).select(*KEYS, "position")
+
+
+@query
+def metrics_union(spark, sf_dir):
+    means = _means(spark, sf_dir)
+    return means.where(F.col("group") == "A").unionByName(means.where(F.col("group") == "R"))
+
+
+@query
+def metrics_latest_run(spark, sf_dir):
+    return metrics.latest(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id")
+
+
+@query
+def metrics_stage_avg(spark, sf_dir):
+    """Per run the mean and the largest over its nodes, then the mean over runs."""
+    per = runs(spark, sf_dir).groupBy("group", "run_id").agg(F.avg("search_max_us").alias("search_avg"), F.max("search_max_us").alias("search_max"), F.sum("gather_us").alias("gather"))
+    return per.groupBy("group").agg(*(rounded(F.avg(c), 4).alias(f"{c}_us") for c in ("search_avg", "search_max", "gather")))
+
+
+@query
+def metrics_run_record(spark, sf_dir):
+    """The record of one list-pruned search, appended to a log of records and read back from it."""
+    b, q = base(spark, sf_dir), asked(spark, sf_dir)
+    lists, began = kmeans.inverted_lists(assigned(spark, sf_dir)), time.time()
+    found = search.ivf(lists, probed(spark, sf_dir), CONFIG.k)
+    n, asked_n = found.count(), q.count()
+    took = (time.time() - began) * 1000
+    recall = evaluate.recall(found, search.exact(b, q, CONFIG.k), CONFIG.k).agg(F.avg("recall").alias("recall"))
+    work = partition.work_balance(_owned(spark, sf_dir, CONFIG.partition), CONFIG.shards)
+    settings = {"algorithm": "IVF", "partition": CONFIG.partition, "np": CONFIG.shards, "nlist": CONFIG.nlist, "nprobe": CONFIG.nprobe, "k": CONFIG.k, "test_queries": asked_n, "hits": n, "batch_time_ms": took, "latency_us": took * 1000 / max(1, asked_n), "qps": asked_n * 1000 / took if took else 0.0}
+    record = recall.crossJoin(work).select(*(F.lit(v).alias(k) for k, v in settings.items()), "recall", "work_min", "work_avg", "work_max", "imbalance_ratio")
+    path = scratch_path(spark, "log")
+    run_records.append(record, path)
+    return spark.read.schema(record.schema).option("header", True).csv(path)
