@@ -23,6 +23,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import id_back, id_text
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.iinfo(np.int64).max
 _WIDTH = np.int64(1 << 32)
@@ -207,8 +209,8 @@ def encode(docs: DataFrame, vocabulary_path: str, *, with_ids: bool = False) ->
             yield pd.concat([batch[["doc_id"]], made], axis=1)
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
+    return id_back(docs.select(id_text(), "text").mapInPandas(run, schema))
 
 
 def decode(spark: SparkSession, encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -220,4 +222,4 @@ def decode(spark: SparkSession, encoded: DataFrame, vocabulary_path: str) -> Dat
             batch["text"] = [None if ids is None else shared.value.decode(np.asarray(ids)) for ids in batch["ids"]]
             yield batch[["doc_id", "text"]]
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return id_back(encoded.select(id_text(), "ids").mapInPandas(run, "doc_id string, text string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a longest run of anything but space, tab, line feed, VT, FF and CR.
@@ -12,6 +12,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 _ROW_BITS = 33  # of monotonically_increasing_id, below the partition's number
 
 
+def id_text() -> Column:
+    """doc_id as text, for pandas: with a null in it, a batch of longs would become doubles and lose digits."""
+    return F.col("doc_id").cast("string").alias("doc_id")
+
+
+def id_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -63,7 +63,7 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0
 
 
 def mix(docs: DataFrame, *, weights=cyclic_weights, max_epochs: float = 3.0, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, whole, extra, taken, and ``carry``.
+    """One row per document: doc_id, source, size, source_size, target, whole, extra, taken, and ``carry`` in the struct carried.
 
     ``weights`` is a function that adds ``weight`` to the table of sources (key, source, size), or a
     table (source, weight). A document is taken ``whole`` times in full and then its first ``extra``
@@ -85,19 +85,18 @@ def mix(docs: DataFrame, *, weights=cyclic_weights, max_epochs: float = 3.0, see
     rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     free = F.col("rest") - (F.col("block_start") + F.col("upto") - F.col("size"))
     dealt = placed.withColumn("whole", whole).withColumn("rest", rest).withColumn("extra", F.greatest(F.lit(0), F.least(free, F.col("size"))).cast("long"))
-    return dealt.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), *[F.col(f"carried.`{c}`").alias(c) for c in carry])
+    return dealt.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), *(["carried"] if carry else []))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: each document as often as it is taken, a last partial one cut after its words."""
-    own = [c for c in docs.columns if c not in ("doc_id", "source")]
-    dealt = mix(docs, carry=tuple(own), **how)
-    copies = F.explode(F.sequence(F.lit(1), (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")))
-    some = dealt.where((F.col("whole") > 0) | (F.col("extra") > 0)).withColumn("__nth", copies)
-    part = (F.col("__nth") > F.col("whole")) & (F.col("extra") < F.col("size"))
-    text = F.when(part, _head(F.col("text"), F.col("extra"))).otherwise(F.col("text"))
-    chars = {"n_chars": F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in own else {}
-    return some.withColumn("text", text).withColumns(chars).select(*docs.columns)
+    dealt = mix(docs, carry=tuple(docs.columns), **how).where((F.col("whole") > 0) | (F.col("extra") > 0))
+    copies = F.sequence(F.lit(1), (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int"))
+    some = dealt.withColumn("nth", F.explode(copies)).withColumn("part", (F.col("nth") > F.col("whole")) & (F.col("extra") < F.col("size")))
+    own = {c: F.col(f"carried.`{c}`") for c in docs.columns}
+    some = some.withColumn("kept_text", F.when(F.col("part"), _head(own["text"], F.col("extra"))).otherwise(own["text"]))
+    made = {"text": F.col("kept_text"), "n_chars": F.when(F.col("part"), F.length("kept_text").cast("long")).otherwise(own.get("n_chars", F.lit(None)))}
+    return some.select(*((made.get(c, own[c])).alias(c) for c in docs.columns))
 
 
 def _head(text: Column, words: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hamming
-from .common import cut, fresh
+from .common import cut, fresh, id_back, id_text
 from .graph import components
 
 _CHUNK = 1 << 15
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             batch["fp"] = np.array([simhash(t, width, seed) for t in batch["text"]], np.uint64).view(np.int64)
             yield batch[["doc_id", "fp", "content"]]
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInPandas(run, "doc_id long, fp long, content long")
+    return id_back(docs.select(id_text(), "text", F.xxhash64("text").alias("content")).mapInPandas(run, "doc_id string, fp long, content long"))
 
 
 def groups(prints: DataFrame, most: int = 64) -> DataFrame:

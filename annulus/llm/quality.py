@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 #: Of each text; see statistics().
 FEATURES = ("chars", "words", "mean_word", "long_words", "letters", "upper", "digits", "spaces", "marks", "symbols", "bars", "exclaims", "other", "distinct", "top_word", "repeats", "distinct_pairs", "lines", "distinct_lines", "top_char", "entropy", "marked_words", "upper_words", "sentence", "sd_word", "distinct_tail")
 _LETTER, _UPPER, _DIGIT, _SPACE, _MARK, _SYMBOL, _BAR, _EXCLAIM, _OTHER = range(9)
@@ -170,7 +172,7 @@ def scored(docs: DataFrame, forest: Forest) -> DataFrame:
             batch["score"] = forest.score(_measured(batch))
             yield batch[["doc_id", "held_out", "score"]]
 
-    made = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double")
+    made = id_back(docs.select(id_text(), "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(run, "doc_id string, held_out boolean, score double"))
     return made.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

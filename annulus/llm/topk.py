@@ -94,7 +94,7 @@ def _search_blocks(left: pd.DataFrame, right: pd.DataFrame, k: int, scale: float
         queries, rows = _matrix(asked["embedding"], scale), _matrix(held["embedding"], scale)
         if size and size * np.abs(queries).max() * np.abs(rows).max() >= 2.0**53:
             queries, rows = queries.astype(np.int64), rows.astype(np.int64)
-        lists = SortedLists(held["vec_id"].fillna(_LAST_ID).to_numpy(np.int64), rows)
+        lists = SortedLists(held["vec_id"].to_numpy(np.int64), rows)
         for own, query in zip(asked["query_id"].to_numpy(np.int64), queries, strict=True):
             ids, scores = lists.search(query, own, k)
             found.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores.astype(np.int64)}))
@@ -108,7 +108,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     n, asked = rows.count(), rows.where(F.col("vec_id").isNotNull() & is_query).count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked // block))
     # dealt by place, not by id: no id can fill a block
-    dealt = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    dealt = rows.withColumn("vec_id", F.coalesce("vec_id", F.lit(_LAST_ID))).withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     sent = queries.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
