@@ -11,6 +11,9 @@ together; permuted common prefixes of at least ``length`` bytes tell where; the
 each run is the first with that string. What comes back for a context is its strings that start
 earlier, as a bit mask.
 
+Of texts that are equal as a whole, found by a digest first, only that of the smallest document goes
+through this; the others lose all their bytes, if they have ``length`` of them.
+
 An anchor that occurs over ``crowded`` times, as a common phrase does, would fill a shard with its
 contexts: its strings travel one by one instead, each to the shard of its own hash.
 
@@ -32,11 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, id_back, id_text
 from .suffix import common_prefixes, suffix_array
 
 _POS_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
+_TOLD_BITS = 24
+_MOST_TIMES = (1 << _TOLD_BITS - 1) - 1
+_USUAL, _CROWDED, _COPY = 0, 1, 2  # kinds of rows that come back to a group
 _BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)  # a number for each byte, the same in every task
 
 
@@ -132,8 +139,18 @@ def _sorted_docs(docs: pd.DataFrame) -> pd.DataFrame:
     return docs.sort_values(["place"], kind="stable")
 
 
+def _without(docs: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
+    """``docs`` without those that are copies of an earlier document."""
+    if not len(copies) or not len(docs):
+        return docs
+    known = set(zip(copies["place"].tolist(), copies["digest"], strict=True))
+    return docs[[x not in known for x in zip(docs["place"].tolist(), docs["digest"], strict=True)]]
+
+
 def anchors_of(docs: pd.DataFrame, plan: Plan) -> pd.DataFrame:
-    """key, group, lo, hi, times of every anchor of a group of documents."""
+    """key and told of every anchor of a group; told holds the group, the times, and if several documents have it."""
+    if not len(docs):
+        return pd.DataFrame({"key": np.empty(0, np.int64), "told": np.empty(0, np.int64)})
     docs = _sorted_docs(docs)
     places = docs["place"].to_numpy(np.int64)
     keys, at = [], []
@@ -145,11 +162,12 @@ def anchors_of(docs: pd.DataFrame, plan: Plan) -> pd.DataFrame:
     keys, at = keys[order], at[order]
     cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     lo, hi = (f.reduceat(at, cuts) if len(cuts) else at for f in (np.minimum, np.maximum))
-    return pd.DataFrame({"key": keys[cuts], "group": docs["group"].iloc[0], "lo": lo, "hi": hi, "times": np.diff(np.r_[cuts, len(keys)])})
+    times = np.minimum(np.diff(np.r_[cuts, len(keys)]), _MOST_TIMES)
+    return pd.DataFrame({"key": keys[cuts], "told": (np.int64(docs["group"].iloc[0]) << _TOLD_BITS) | (times << 1) | (lo < hi)})
 
 
 def _contexts(docs: pd.DataFrame, keys: np.ndarray, crowded: np.ndarray, plan: Plan) -> Iterator[tuple]:
-    """(row, key, bytes, start in the text) of every context whose anchor is in the sorted ``keys``; of crowded ones, of every string."""
+    """(row, (key, anchor if it is another, crowded), bytes, start in the text) of every context whose anchor is in the sorted ``keys``; of crowded ones, of every string."""
     for rows, data, offsets, starts, heads, tails, found in _chunks(docs, plan):
         at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
         hit = np.flatnonzero(keys[at] == found) if len(keys) else at[:0]
@@ -157,25 +175,31 @@ def _contexts(docs: pd.DataFrame, keys: np.ndarray, crowded: np.ndarray, plan: P
         within = heads[hit] - starts[piece] + offsets[piece]
         for row, a, b, key, full, start in zip(rows[piece].tolist(), heads[hit].tolist(), tails[hit].tolist(), found[hit].tolist(), crowded[at[hit]].tolist(), within.tolist(), strict=True):
             if not full:
-                yield row, key, data[a : b + plan.length], start
+                yield row, (key, 0, False), data[a : b + plan.length], start
                 continue
             for j in range(a, b + 1):
                 one = data[j : j + plan.length]
-                yield row, xxhash.xxh3_64_intdigest(one) - (1 << 63), one, start + j - a
+                yield row, (xxhash.xxh3_64_intdigest(one) - (1 << 63), key, True), one, start + j - a
 
 
 def contexts_of(docs: pd.DataFrame, wanted: pd.DataFrame, plan: Plan) -> pd.DataFrame:
-    """key, context, group, lo, hi: a group's distinct contexts under the wanted anchors, with their first and last document."""
-    if not len(docs) or not len(wanted):
-        return pd.DataFrame({"key": np.empty(0, np.int64), "context": [], "group": np.empty(0, np.int64), "lo": np.empty(0, np.int64), "hi": np.empty(0, np.int64)})
-    docs, wanted = _sorted_docs(docs), wanted.sort_values("key")
-    places = docs["place"].tolist()
+    """key, anchor, context, told, lo: a group's distinct contexts under the wanted anchors, with their first document.
+
+    Rows are narrow, for they cross an exchange: told holds the group, if the anchor is crowded, and if
+    several documents have the context.
+    """
     first: dict[tuple, int] = {}
-    last: dict[tuple, int] = {}
-    for row, key, context, _ in _contexts(docs, wanted["key"].to_numpy(np.int64), wanted["crowded"].to_numpy(bool), plan):
-        first.setdefault((key, context), places[row])
-        last[key, context] = places[row]
-    return pd.DataFrame({"key": np.array([k for k, _ in first], np.int64), "context": [c for _, c in first], "group": int(docs["group"].iloc[0]), "lo": np.fromiter(first.values(), np.int64), "hi": np.fromiter(last.values(), np.int64)})
+    several: set[tuple] = set()
+    if len(docs) and len(wanted):
+        docs, wanted = _sorted_docs(docs), wanted.sort_values("key")
+        places = docs["place"].tolist()
+        for row, of, context, _ in _contexts(docs, wanted["key"].to_numpy(np.int64), wanted["crowded"].to_numpy(bool), plan):
+            if first.setdefault((of, context), places[row]) < places[row]:
+                several.add((of, context))
+    keys = np.array([of for of, _ in first], np.int64).reshape(-1, 3)
+    group = int(docs["group"].iloc[0]) if len(docs) else 0
+    told = (group << 2) | (keys[:, 2] << 1) | np.fromiter((x in several for x in first), np.int64)
+    return pd.DataFrame({"key": keys[:, 0], "anchor": keys[:, 1], "context": [c for _, c in first], "told": told, "lo": np.fromiter(first.values(), np.int64)})
 
 
 def _earlier(contexts: list[bytes], first: np.ndarray, plan: Plan) -> list[int]:
@@ -199,9 +223,9 @@ def _earlier(contexts: list[bytes], first: np.ndarray, plan: Plan) -> list[int]:
 
 
 def matches_of(shard: pd.DataFrame, plan: Plan) -> pd.DataFrame:
-    """group, key, digest, lo, mask of each context of a shard; -1 stands for all its strings."""
-    keys, groups = shard["key"].to_numpy(np.int64), shard["group"].to_numpy(np.int64)
-    lo, hi, texts = shard["lo"].to_numpy(np.int64), shard["hi"].to_numpy(np.int64), shard["context"].tolist()
+    """group, kind, key, anchor, digest, lo, mask of each context of a shard; -1 stands for all its strings."""
+    keys, told = shard["key"].to_numpy(np.int64), shard["told"].to_numpy(np.int64)
+    lo, texts = shard["lo"].to_numpy(np.int64), shard["context"].tolist()
     number: dict[tuple, int] = {}
     which = np.fromiter((number.setdefault(x, len(number)) for x in zip(keys.tolist(), texts, strict=True)), np.int64, len(texts))
     first = np.full(len(number), _LAST)
@@ -214,18 +238,20 @@ def matches_of(shard: pd.DataFrame, plan: Plan) -> pd.DataFrame:
         names = [*number]
         mask[several] = _earlier([names[i][1] for i in several.tolist()], first[several], plan)
     own = np.where(lo > first[which], np.int64(-1), mask[which])
-    keep = np.flatnonzero((own != 0) | (hi > lo))
-    return pd.DataFrame({"group": groups[keep], "key": keys[keep], "digest": [xxhash.xxh3_128_digest(texts[i]) for i in keep.tolist()], "lo": lo[keep], "mask": own[keep]})
+    keep = np.flatnonzero((own != 0) | (told & 1 == 1))
+    return pd.DataFrame({"group": told[keep] >> 2, "kind": np.where(told[keep] & 2, _CROWDED, _USUAL).astype(np.int32), "key": keys[keep], "anchor": shard["anchor"].to_numpy(np.int64)[keep], "digest": [xxhash.xxh3_128_digest(texts[i]) for i in keep.tolist()], "lo": lo[keep], "mask": own[keep]})
 
 
-def removed_of(docs: pd.DataFrame, found: pd.DataFrame, wanted_keys: np.ndarray, crowded: np.ndarray, plan: Plan, with_text: bool = False) -> pd.DataFrame:
+def removed_of(docs: pd.DataFrame, found: pd.DataFrame, plan: Plan, with_text: bool = False) -> pd.DataFrame:
     docs = _sorted_docs(docs) if len(docs) else docs
     texts = [t.encode() for t in docs["text"]]
     places = docs["place"].tolist()
     marks = [None] * len(texts)
     known = {(k, d): (lo, mask) for k, d, lo, mask in zip(found["key"].tolist(), map(bytes, found["digest"]), found["lo"].tolist(), found["mask"].tolist(), strict=True)}
     if known:
-        for row, key, context, start in _contexts(docs, wanted_keys, crowded, plan):
+        crowded = found["kind"].to_numpy() == _CROWDED
+        anchors, at = np.unique(np.where(crowded, found["anchor"].to_numpy(np.int64), found["key"].to_numpy(np.int64)), return_index=True)
+        for row, (key, _, _), context, start in _contexts(docs, anchors, crowded[at], plan):
             hit = known.get((key, xxhash.xxh3_128_digest(context)))
             if hit is None:
                 continue
@@ -252,31 +278,62 @@ def removed_of(docs: pd.DataFrame, found: pd.DataFrame, wanted_keys: np.ndarray,
     return pd.concat([docs[["doc_id"]], made], axis=1)
 
 
+def removed_whole(docs: pd.DataFrame, plan: Plan, with_text: bool = False) -> pd.DataFrame:
+    """Of copies: all is gone, but texts too short for a match stay."""
+    rows = []
+    for text in (t.encode() for t in docs["text"]):
+        kept = text if len(text) < plan.length else b""
+        rows.append((len(text), len(text) - len(kept), int(len(kept) < len(text)), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+    made = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])], index=docs.index)
+    return pd.concat([docs[["doc_id"]], made], axis=1)
+
+
+def _copies(dealt: DataFrame) -> DataFrame:
+    """group, place, digest of the documents whose whole text an earlier one has."""
+    light = dealt.select("group", "place", "digest")
+    first = light.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(F.col("first") < F.col("last"))
+    return light.join(first.select("digest", "first"), "digest").where(F.col("place") > F.col("first")).select("group", "place", "digest").distinct()
+
+
 def deduplicated(docs: DataFrame, plan: Plan = Plan(), *, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``with_text`` the kept bytes.
 
     The texts cross one exchange, into groups of some ``group_bytes``, and are read from it three times.
     """
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()
     groups = max(1, -(-(size.bytes or 0) // plan.group_bytes))
     shards = max(1, -(-(size.bytes or 0) // plan.shard_bytes))
     place = F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("long")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), "text", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(groups)).alias("group"))
-    in_groups = dealt.groupBy("group")
-    anchors = in_groups.applyInPandas(lambda pdf: anchors_of(pdf, plan), "key long, group long, lo long, hi long, times long")
+    text = F.coalesce("text", F.lit(""))
+    dealt = docs.select(id_text(), place.alias("place"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(groups)).alias("group"))
+    copies = cut(_copies(dealt)).toDF("group", "place", "digest")  # names of its own, apart from those of the texts
+    in_groups, copied = dealt.groupBy("group"), copies.groupBy("group")
+    anchors = in_groups.cogroup(copied).applyInPandas(lambda a, b: anchors_of(_without(a, b), plan), "key long, told long")
     of_key = Window.partitionBy("key")
-    seen = anchors.withColumns({"first": F.min("lo").over(of_key), "last": F.max("hi").over(of_key), "all": F.sum("times").over(of_key)})
-    wanted = seen.where(F.col("first") < F.col("last")).select("group", "key", (F.col("all") > plan.crowded).alias("crowded"))
-    contexts = in_groups.cogroup(wanted.groupBy("group")).applyInPandas(lambda a, b: contexts_of(a, b, plan), "key long, context binary, group long, lo long, hi long")
-    found = contexts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: matches_of(pdf, plan), "group long, key long, digest binary, lo long, mask long")
-    # the wanted anchors go along once more, to find the same contexts again; no nulls, which pandas would make floats
+    times = F.shiftright("told", 1).bitwiseAND(F.lit(_MOST_TIMES))
+    seen = anchors.withColumns({"groups": F.count(F.lit(1)).over(of_key), "several": F.max(F.col("told").bitwiseAND(F.lit(1))).over(of_key), "all": F.sum(times).over(of_key)})
     zero = F.lit(0).cast("long")
-    answers = found.select("group", "key", "digest", "lo", "mask", F.lit(False).alias("anchor"), F.lit(False).alias("crowded")).unionByName(wanted.select("group", "key", F.lit(b"").alias("digest"), zero.alias("lo"), zero.alias("mask"), F.lit(True).alias("anchor"), "crowded"))
+    wanted = seen.where((F.col("groups") > 1) | (F.col("several") == 1)).select(F.shiftright("told", _TOLD_BITS).alias("group"), F.when(F.col("all") > plan.crowded, _CROWDED).otherwise(_USUAL).alias("kind"), "key", F.lit(b"").alias("digest"))
+    marks = copies.select("group", F.lit(_COPY).alias("kind"), F.col("place").alias("key"), "digest")
 
-    def remove(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        anchor = told["anchor"].to_numpy(bool)
-        again = told[anchor].sort_values("key")
-        return removed_of(texts, told[~anchor], again["key"].to_numpy(np.int64), again["crowded"].to_numpy(bool), plan, with_text)
+    def gather(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        copy = told["kind"].to_numpy() == _COPY
+        wanted = told[~copy]
+        return contexts_of(_without(texts, told[copy].rename(columns={"key": "place"})), wanted.assign(crowded=wanted["kind"] == _CROWDED), plan)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return in_groups.cogroup(answers.groupBy("group")).applyInPandas(remove, schema)
+    contexts = in_groups.cogroup(wanted.unionByName(marks).groupBy("group")).applyInPandas(gather, "key long, anchor long, context binary, told long, lo long")
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    found = contexts.groupBy(shard).applyInPandas(lambda pdf: matches_of(pdf, plan), "group long, kind int, key long, anchor long, digest binary, lo long, mask long")
+    # no nulls, which pandas would make floats
+    answers = found.unionByName(marks.withColumns({c: zero for c in ("anchor", "lo", "mask")}))
+
+    def remove(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        copy = told["kind"].to_numpy() == _COPY
+        new = _without(texts, told[copy].rename(columns={"key": "place"}))
+        made = [removed_of(new, told[~copy], plan, with_text)]
+        if len(new) < len(texts):
+            made.append(removed_whole(texts[~texts.index.isin(new.index)], plan, with_text))
+        return pd.concat(made)
+
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return id_back(in_groups.cogroup(answers.groupBy("group")).applyInPandas(remove, schema))
