@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WIDTH, STRIDE, BANDS = 5, 2, 12
-#: Up to so many candidate pairs are broadcast to the texts, about 24 bytes each; above, the join shuffles.
-BROADCAST_PAIRS = 1_000_000
+#: Up to so many candidate pairs, two short columns, are broadcast to the texts; above, the join shuffles.
+BROADCAST_PAIRS = 100_000
 
 # Notices that say under which license a text is.
 TEMPLATES = {
@@ -108,16 +108,16 @@ def matches(docs: DataFrame, known: DataFrame, least: float = 0.8, chunk: int =
 
 def _verified(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     pairs = cut(candidates(docs, known))
-    wanted = pairs.join(F.broadcast(known.select("template_id", _shingles(F.col("words")).alias("of"))), "template_id").withColumnRenamed("doc_id", "id")
-    by_id = wanted.groupBy("id").agg(F.collect_list(F.struct("template_id", "of")).alias("wanted"))  # at most ``chunk`` a document
+    by_id = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("template_id").alias("wanted"))  # at most ``chunk`` a document
     if pairs.count() <= BROADCAST_PAIRS:
         by_id = F.broadcast(by_id)
     hit = docs.select("doc_id", "text").join(by_id, F.col("doc_id").eqNullSafe(F.col("id")))
     # in two steps: inside a lambda, the expression of the words would be evaluated for each shingle
     own = hit.select("doc_id", _words(F.col("text")).alias("words"), "wanted").select("doc_id", _shingles(F.col("words")).alias("own"), "wanted")
-    each = own.select("doc_id", "own", F.explode("wanted").alias("t"))
-    share = F.size(F.array_intersect("own", "t.of")) / F.size("t.of")
-    return each.select("doc_id", F.col("t.template_id").alias("template_id"), share.alias("containment")).where(F.col("containment") >= F.lit(least))
+    each = own.select("doc_id", "own", F.explode("wanted").alias("template_id"))
+    each = each.join(F.broadcast(known.select("template_id", _shingles(F.col("words")).alias("of"))), "template_id")
+    share = F.size(F.array_intersect("own", "of")) / F.size("of")
+    return each.select("doc_id", "template_id", share.alias("containment")).where(F.col("containment") >= F.lit(least))
 
 
 def scan(docs: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
