@@ -119,7 +119,12 @@ def content_groups(docs: DataFrame, width: int, seed: int, number: int, most: in
 
 def deduplicated(docs: DataFrame, width: int = 5, seed: int = 42, number: int = 1) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id, a null id last; of equal ids, the smallest hash of the text."""
-    found = cut(content_groups(docs, width, seed, number).groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("times")))
+    return first_of_groups(docs, content_groups(docs, width, seed, number))
+
+
+def first_of_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of ``placed`` (doc_id, content, component), chosen as ``deduplicated`` does."""
+    found = cut(placed.groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("times")))
     first = Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "content")
     kept = found.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), "times")
