@@ -7,16 +7,16 @@ contains it, so some window of the text has at least half of a window's shingles
 template's window there. Each band is one row, one seeded hash, and there are twelve: two windows
 that share one of two shingles agree in a band with probability one half, and in no band with
 probability 2 ** -12; a template of two or more shingles has several such windows, so its chance of
-being missed is smaller still. A template of up to five words is one shingle, as is a text of that
-length, and the text's windows hold it whole.
+being missed is smaller still. A template of fewer than five words is one shingle of just its words; for
+each such width among the templates, texts are read once more in shingles of that width.
 
 Candidates are then verified: the exact share of the template's distinct shingles among the text's
 must be at least ``least``. Shingles are compared as strings there.
 
-Only DataFrame operations are used. Texts are read twice and never shuffled unless there are more
+Only DataFrame operations are used. Texts are read twice a width and never shuffled unless there are more
 candidates than a checked bound.
 
-Edge cases: null, empty and short texts have no candidates unless they equal a short template;
+Edge cases: null and empty texts have no candidates, short ones only those they hold whole;
 repeated rows and ids each get their row; templates that are null or without words match nothing; no
 template gives no match. Only doc_id and text, and template_id and text of the templates, are read,
 so other columns can have any name.
@@ -49,9 +49,12 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+# Notices of fewer words than a shingle.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
+
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES.items()), "template_id string, text string")
+    return spark.createDataFrame(list((TEMPLATES | SHORT_TEMPLATES).items()), "template_id string, text string")
 
 
 def _words(text: Column) -> Column:
@@ -59,35 +62,35 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(bare, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _shingle(hashes: str, at: Column) -> Column:
+def _shingle(hashes: str, at: Column, width: int) -> Column:
     """The hash of the shingle that begins at ``at``; of all words, where there are fewer."""
-    return F.xxhash64(*(F.get(hashes, at + i) for i in range(WIDTH)))
+    return F.xxhash64(*(F.get(hashes, at + i) for i in range(width)))
 
 
-def _bands(texts: DataFrame, key: str, stride: int) -> DataFrame:
+def _bands(texts: DataFrame, key: str, stride: int, width: int) -> DataFrame:
     """``key`` and band (long) of every window, from ``key`` and words."""
     # the words' hashes are made once a text; a window's shingles are then hashes of five longs, in generated code
     hashed = texts.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    last = F.greatest(F.size("h") - WIDTH, F.lit(0))
+    last = F.greatest(F.size("h") - width, F.lit(0))
     # outer: for a plain explode the optimiser adds a filter on the array, which would be built twice
     begins = F.explode_outer(F.when(F.size("h") > 0, F.sequence(F.lit(0), last, F.lit(stride))))
     windows = hashed.select(key, "h", begins.alias("at"), last.alias("last")).where("at IS NOT NULL")
-    shingles = windows.select(key, _shingle("h", F.col("at")).alias("a"), _shingle("h", F.least(F.col("at") + 1, F.col("last"))).alias("b"))
+    shingles = windows.select(key, _shingle("h", F.col("at"), width).alias("a"), _shingle("h", F.least(F.col("at") + 1, F.col("last")), width).alias("b"))
     seeded = shingles.select(key, "a", "b", F.explode(F.array(*map(F.lit, range(BANDS)))).alias("seed"))
     return seeded.select(key, F.least(F.xxhash64("a", "seed"), F.xxhash64("b", "seed")).alias("band"))
 
 
-def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct (doc_id, template_id) that agree in a band. ``known`` has template_id and words."""
+def candidates(docs: DataFrame, known: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Distinct (doc_id, template_id) that agree in a band. ``known`` has template_id and words, ``width`` or more."""
     # of each template every window, of each text every second one: the same windows meet wherever the text begins
-    wanted = _bands(known, "template_id", 1).distinct()
+    wanted = _bands(known, "template_id", 1, width).distinct()
     texts = docs.select("doc_id", _words(F.col("text")).alias("words"))
-    return _bands(texts, "doc_id", STRIDE).join(F.broadcast(wanted), "band").select("doc_id", "template_id").distinct()
+    return _bands(texts, "doc_id", STRIDE, width).join(F.broadcast(wanted), "band").select("doc_id", "template_id").distinct()
 
 
-def _shingles(words: Column) -> Column:
-    n = F.greatest(F.size(words) - WIDTH, F.lit(0))
-    return F.when(F.size(words) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(words, i + 1, WIDTH), " ")))).otherwise(F.array().cast("array<string>"))
+def _shingles(words: Column, width: int) -> Column:
+    n = F.greatest(F.size(words) - width, F.lit(0))
+    return F.when(F.size(words) > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(words, i + 1, width), " ")))).otherwise(F.array().cast("array<string>"))
 
 
 def matches(docs: DataFrame, known: DataFrame, least: float = 0.8, chunk: int = 1000) -> DataFrame:
@@ -97,25 +100,29 @@ def matches(docs: DataFrame, known: DataFrame, least: float = 0.8, chunk: int =
     """
     spark = docs.sparkSession
     named = known.where(F.col("text").isNotNull() & F.col("template_id").isNotNull()).select("template_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    total, found = named.count(), None
-    passes = max(1, -(-total // chunk))
-    for k in range(passes):
-        part = named if passes == 1 else named.where(F.pmod(F.xxhash64("template_id"), F.lit(passes)) == k)
-        some = _verified(docs, part, least)
-        found = some if found is None else found.unionByName(some)
+    named = named.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
+    found = None
+    for width, total in sorted(map(tuple, named.groupBy("width").count().collect())):  # at most WIDTH rows
+        passes = -(-total // chunk)
+        for k in range(passes):
+            part = named.where(F.col("width") == width)
+            if passes > 1:
+                part = part.where(F.pmod(F.xxhash64("template_id"), F.lit(passes)) == k)
+            some = _verified(docs, part, least, width)
+            found = some if found is None else found.unionByName(some)
     return found if found is not None else spark.createDataFrame([], "doc_id long, template_id string, containment double")
 
 
-def _verified(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    pairs = cut(candidates(docs, known))
+def _verified(docs: DataFrame, known: DataFrame, least: float, width: int) -> DataFrame:
+    pairs = cut(candidates(docs, known, width))
     by_id = pairs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("template_id").alias("wanted"))  # at most ``chunk`` a document
     if pairs.count() <= BROADCAST_PAIRS:
         by_id = F.broadcast(by_id)
     hit = docs.select("doc_id", "text").join(by_id, F.col("doc_id").eqNullSafe(F.col("id")))
     # in two steps: inside a lambda, the expression of the words would be evaluated for each shingle
-    own = hit.select("doc_id", _words(F.col("text")).alias("words"), "wanted").select("doc_id", _shingles(F.col("words")).alias("own"), "wanted")
+    own = hit.select("doc_id", _words(F.col("text")).alias("words"), "wanted").select("doc_id", _shingles(F.col("words"), width).alias("own"), "wanted")
     each = own.select("doc_id", "own", F.explode("wanted").alias("template_id"))
-    each = each.join(F.broadcast(known.select("template_id", _shingles(F.col("words")).alias("of"))), "template_id")
+    each = each.join(F.broadcast(known.select("template_id", _shingles(F.col("words"), width).alias("of"))), "template_id")
     share = F.size(F.array_intersect("own", "of")) / F.size("of")
     return each.select("doc_id", "template_id", share.alias("containment")).where(F.col("containment") >= F.lit(least))
 
