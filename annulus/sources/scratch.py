@@ -8,12 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder; below a temporary one only where none is set, as in tests."""
+def shared_root(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which is set as checkpoint folder.
+
+    Where it is unset, one is made on a local master only, where driver and executors are one process;
+    a cluster without one is an error, since a machine's own folder isn't seen by the others.
+    """
     context = spark.sparkContext
-    root = context.getCheckpointDir()
-    if root is None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    if context.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(root)
-        root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return context.getCheckpointDir().rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's shared checkpoint folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
