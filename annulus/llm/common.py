@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_root
+
 #: A word is a longest run of anything but space, tab, line feed, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 _ROW_BITS = 33  # of monotonically_increasing_id, below the partition's number
@@ -26,17 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the cluster's shared checkpoint folder and drops its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) is one made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Materialises ``df`` in the cluster's shared checkpoint folder and drops its lineage."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -45,6 +44,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def content_of(text: Column, doc_id: Column) -> Column:
+    """A hash of the text that, with the id (0 for a null one), tells a row from all rows but its repetitions."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), doc_id.isNull(), text.isNull())
+
+
 def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
     """Adds each row's 0-based place in ``order``, without a window over the whole table.
 

@@ -6,9 +6,15 @@ share is above its cap. Each source then gives whole repetitions of all its docu
 rest, documents in a seeded order until the rest is used up; the document at that point gives only
 its first words. So a source's taken words differ from its target by less than one word.
 
+The seeded order is that of a digest of seed, id and text, so ids that are null or repeat don't lie
+together. A source is known by where its rest ends: sums of blocks of the digest tell the block, and
+only that block's documents are put in order. All other documents are taken or left by comparing
+their digest with that of the end, so no text crosses a shuffle.
+
 Edge cases: a null text has size 0; null sources form one source of their own; a source with no
-words has target 0; repeated rows and repeated ids are separate documents; a null id has a place in
-the seeded order like any other. An empty table gives an empty result. If every source is clamped,
+words has target 0; repeated ids are separate documents; rows that repeat id and text stand together
+in the order, and where the rest ends among them, as many as it covers are taken; a null id has a
+place in the order like any other. An empty table gives an empty result. If every source is clamped,
 the targets are the caps. A null or non-positive weight gives target 0. Only the columns named are
 read, so other columns can have any name.
 """
@@ -18,10 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, with_ordinal
+from .common import WORD, cut, fresh, quoted, with_ordinal
 
-#: Hex digits of the seeded hash that make a block of a source's order: 16 ** 3 blocks a source.
+#: Hex digits of the digest that make a block of a source's order: 16 ** 3 blocks a source.
 _BLOCK_DIGITS = 3
+_ROW_BITS = 33  # of monotonically_increasing_id, below the partition's number
+#: Up to so many sources, one short row each, are broadcast to the documents; above, the join shuffles.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -33,6 +42,11 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+def _order(doc_id: Column, text: Column, seed: int) -> Column:
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), digest).cast("binary"))
+
+
 def water_fill(sources: DataFrame, max_epochs: float = 3.0, budget: float | None = None) -> DataFrame:
     """``sources`` (key, size, weight) with each one's ``target``.
 
@@ -62,41 +76,94 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0
     return placed.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), (F.col("ordinal") % len(cycle) + 1).cast("int"))).drop("ordinal")
 
 
-def mix(docs: DataFrame, *, weights=cyclic_weights, max_epochs: float = 3.0, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, whole, extra, taken, and ``carry`` in the struct carried.
+def _rows(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(F.col("source")).alias("key"), _order(F.col("doc_id"), F.col("text"), seed).alias("order"))
 
-    ``weights`` is a function that adds ``weight`` to the table of sources (key, source, size), or a
-    table (source, weight). A document is taken ``whole`` times in full and then its first ``extra``
-    words: its size, none, or a part for the one document where the source's rest ends.
+
+def _ends(rows: DataFrame, weights, max_epochs: float) -> DataFrame:
+    """One row per source: key, source_size, target, whole, and where the rest ends.
+
+    end is the digest of the document at which the rest ends (above all digests, if there is none),
+    left the words that are left for the documents of that digest, times their number.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(F.col("source")).alias("key"), order.alias("order"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
-    rows = rows.withColumn("block", F.substring("order", 1, _BLOCK_DIGITS))
+    block = F.substring("order", 1, _BLOCK_DIGITS)
     # one row per source and block: what the prefix sums need, and no more
-    blocks = cut(rows.groupBy("key", "block").agg(F.sum("size").alias("block_size")))
+    blocks = cut(rows.groupBy("key", block.alias("block")).agg(F.sum("size").alias("block_size")))
     totals = blocks.groupBy("key").agg(F.sum("block_size").alias("size")).withColumn("source", F.when(F.col("key") != "n", F.expr("substring(key, 2)")))
     weighted = weights(totals) if callable(weights) else totals.join(weights.select(F.col("source").alias("w_source"), "weight"), F.col("source").eqNullSafe(F.col("w_source")), "left")
     targets = water_fill(cut(weighted.select("key", "size", "weight")), max_epochs).select("key", F.col("size").alias("source_size"), "target")
-    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("block_start", F.coalesce(F.sum("block_size").over(before), F.lit(0))).join(targets, "key").select("key", "block", "block_start", "source_size", "target")
-    inside = Window.partitionBy("key", "block").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(starts, ["key", "block"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
-    free = F.col("rest") - (F.col("block_start") + F.col("upto") - F.col("size"))
-    dealt = placed.withColumn("whole", whole).withColumn("rest", rest).withColumn("extra", F.greatest(F.lit(0), F.least(free, F.col("size"))).cast("long"))
-    return dealt.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), *(["carried"] if carry else []))
+    targets = targets.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    upto = F.sum("block_size").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = blocks.withColumn("upto", upto).join(targets.select("key", "rest"), "key").where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("block_size") <= F.col("rest")))
+    at = at.select("key", "block", (F.col("rest") - F.col("upto") + F.col("block_size")).alias("free"))
+    # only documents of the block where a source's rest ends; those with one digest are one row
+    near = rows.withColumn("block", block).join(at, ["key", "block"]).groupBy("key", "free", "order").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("times"))
+    upto = F.sum("size").over(Window.partitionBy("key").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    end = near.withColumn("upto", upto).where((F.col("upto") > F.col("free")) & (F.col("upto") - F.col("size") <= F.col("free")))
+    end = end.select("key", F.col("order").alias("end"), (F.col("free") - F.col("upto") + F.col("size")).alias("left"), "times")
+    # as many rows as sources
+    return cut(targets.join(end, "key", "left").select("key", "source_size", "target", "whole", F.coalesce("end", F.when(F.col("rest") > 0, F.lit("g")).otherwise(F.lit(""))).alias("end"), F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("times", F.lit(1)).alias("times")))
+
+
+def _joined(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends, "key")
+
+
+def _dealt(joined: DataFrame, ends: DataFrame) -> DataFrame:
+    """``joined`` (order, size, and the columns of ``ends``) with extra, the words of a further, partial repetition."""
+    nth = F.lit(0)
+    if not ends.where("times > 1").isEmpty():  # the end is among rows that repeat: each needs its place among them
+        nth = F.col("nth")
+        joined = _numbered(joined)
+    last = F.greatest(F.lit(0), F.least(F.col("left") - nth * F.col("size"), F.col("size")))
+    extra = F.when(F.col("order") < F.col("end"), F.col("size")).when(F.col("order") == F.col("end"), last).otherwise(F.lit(0))
+    return joined.withColumn("extra", extra.cast("long"))
+
+
+def _numbered(joined: DataFrame) -> DataFrame:
+    """Adds nth, from 0, among the rows of the digest where their source ends; null elsewhere.
+
+    Rows are counted by partition and then within it, so no digest has all its rows in one task.
+    """
+    held = cut(joined.withColumn("at", F.monotonically_increasing_id()))
+    ended = held.where(F.col("order") == F.col("end")).select("key", F.shiftright("at", _ROW_BITS).alias("part"), "at")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ended.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("at")) - 1
+    placed = ended.withColumn("inside", inside).join(starts, ["key", "part"]).select("at", (F.col("start") + F.col("inside")).alias("nth"))
+    return held.join(placed, "at", "left").drop("at")
+
+
+def mix(docs: DataFrame, *, weights=cyclic_weights, max_epochs: float = 3.0, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, whole, extra, taken.
+
+    ``weights`` is a function that adds ``weight`` to the table of sources (key, source, size), or a
+    table (source, weight). A document is taken ``whole`` times in full and then its first ``extra``
+    words: its size, none, or a part for the one document where the source's rest ends.
+    """
+    rows = cut(_rows(docs, seed))  # narrow: the words are counted once
+    ends = _ends(rows, weights, max_epochs)
+    dealt = _dealt(_joined(rows, ends), ends)
+    return dealt.select("doc_id", "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, weights=cyclic_weights, max_epochs: float = 3.0, seed: int = 0) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: each document as often as it is taken, a last partial one cut after its words."""
-    dealt = mix(docs, carry=tuple(docs.columns), **how).where((F.col("whole") > 0) | (F.col("extra") > 0))
+    ends = _ends(cut(_rows(docs, seed)), weights, max_epochs)
+    own = fresh(docs, "own")
+    packed = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias(own))
+    get = {c: F.col(f"{own}.{quoted(c)}") for c in docs.columns}
+    order = _order(get["doc_id"], get["text"], seed)
+    joined = _joined(packed.select(own, _key(get["source"]).alias("key"), order.alias("order")), ends)
+    # a document's size matters only where its source ends; elsewhere, if it has words
+    size = F.when(F.col("order") == F.col("end"), word_count(get["text"])).otherwise(F.coalesce(get["text"].rlike(WORD), F.lit(False)).cast("long"))
+    dealt = _dealt(joined.withColumn("size", size), ends).where((F.col("whole") > 0) | (F.col("extra") > 0))
     copies = F.sequence(F.lit(1), (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int"))
-    some = dealt.withColumn("nth", F.explode(copies)).withColumn("part", (F.col("nth") > F.col("whole")) & (F.col("extra") < F.col("size")))
-    own = {c: F.col(f"carried.`{c}`") for c in docs.columns}
-    some = some.withColumn("kept_text", F.when(F.col("part"), _head(own["text"], F.col("extra"))).otherwise(own["text"]))
-    made = {"text": F.col("kept_text"), "n_chars": F.when(F.col("part"), F.length("kept_text").cast("long")).otherwise(own.get("n_chars", F.lit(None)))}
-    return some.select(*((made.get(c, own[c])).alias(c) for c in docs.columns))
+    some = dealt.withColumn("copy", F.explode(copies)).withColumn("part", (F.col("copy") > F.col("whole")) & (F.col("extra") < F.col("size")))
+    some = some.withColumn("kept_text", F.when(F.col("part"), _head(get["text"], F.col("extra"))).otherwise(get["text"]))
+    made = {"text": F.col("kept_text"), "n_chars": F.when(F.col("part"), F.length("kept_text").cast("long")).otherwise(get.get("n_chars", F.lit(None)))}
+    return some.select(*(made.get(c, get[c]).alias(c) for c in docs.columns))
 
 
 def _head(text: Column, words: Column) -> Column:
