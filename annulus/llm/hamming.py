@@ -33,11 +33,13 @@ def _keys(fp: Column) -> list[Column]:
 def _buckets(fps: DataFrame) -> DataFrame:
     """(fp, key, size): each fingerprint in its six buckets, with the number of fingerprints there."""
     keyed = fps.select("fp", F.explode(F.array(*_keys(F.col("fp")))).alias("key"))
-    return keyed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col("size") > 1)
+    # not by a window: a group of near copies may fill a bucket, and a join's large keys can be split
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return keyed.join(sizes, "key").select("fp", "key", "size")
 
 
 def _words(fps: DataFrame) -> DataFrame:
-    """(fp, word): each fingerprint with itself and the 64 words one bit away."""
+    """(fp, word): each fingerprint with itself and the 64 words one bit away. Fingerprints are distinct, so a word has 65 at most."""
     flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64))]
     return fps.withColumn("word", F.explode(F.array(*flips)))
 
