@@ -1,18 +1,21 @@
 """URL filters: path rules first, then word segmentation and naive Bayes for the urls without a rule.
 
-A host's pieces, often words written together, are split by a unigram Viterbi over the word counts of
-the pages' own text. Counts are not gathered anywhere: each distinct piece is joined by its
-substrings to the words it may hold, so a task needs the few counts of one piece at a time. The words
-of host and path are the tokens of a multinomial naive Bayes, fitted on the urls that rules judge.
+A host's and a path's runs of letters, often words written together, are split by a unigram Viterbi
+over the word counts of the pages' own text. Counts are not gathered anywhere: each distinct run is
+joined by its substrings to the words it may hold, so a task needs the few counts of one run at a
+time. Only lengths that some word has are tried, and none is too long: an unknown word may be as long
+as its run. The words of host and path, and a token for each number's count of digits, are the tokens
+of a multinomial naive Bayes, fitted on the urls that rules judge.
 
-Distinct hosts, and not pages, are split and scored, and counts per host and class come before any
-token, so a host that a third of the pages have is one row in these joins.
+Distinct hosts and paths, and not pages, are split and scored, and counts per host or path and class
+come before any token, so a host that a third of the pages have is one row in these joins.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and no rule. With no rule
 of one kind anywhere, the shares of blocked and allowed are even; ties and urls without any token go
 to allow if blocking isn't the likelier class. Repeated rows get the same verdict each; null ids
-stay. Pieces over 63 letters (no host label is longer) are one word. An empty table gives an empty
-result. Only page_id, url and html are read.
+stay. Letters of every alphabet count, with the marks that go with them; a run in an alphabet that no
+page's text has is one unknown word. An empty table gives an empty result. Only page_id, url and
+html are read.
 """
 
 from __future__ import annotations
@@ -27,8 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Longest word that a segmentation can hold, and longest piece that is segmented.
-LONGEST_WORD, LONGEST_PIECE = 20, 63
+_NO_LETTERS = r"[^\p{L}\p{M}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are one expression; more are joined.
 INLINE_RULES = 64
@@ -78,24 +80,31 @@ def judged(urls: DataFrame, rules: list[Rule], inline: int = INLINE_RULES) -> Da
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): letters-only words of all texts, markup left out, lower case. ``texts`` has ``text``."""
+    """(word, n): words of all texts, which are runs of letters, markup left out, lower case. ``texts`` has ``text``."""
     plain = F.lower(F.regexp_replace("text", "<[^>]*>", " "))
-    words = texts.select(F.explode_outer(F.split(plain, "[^a-z]+")).alias("word"))
-    return words.where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.select(F.explode_outer(F.split(plain, _NO_LETTERS)).alias("word"))
+    return words.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(piece: str, counts: dict[str, int], total: int) -> list[str]:
-    """The likeliest split into words; an unknown word of n letters has probability 10 / (total * 10 ** n)."""
-    if len(piece) > LONGEST_PIECE:
-        return [piece]
+    """The likeliest split into words; an unknown word of n letters has probability 10 / (total * 10 ** n).
+
+    The best unknown word up to each place begins where score plus log 10 times the place is largest,
+    so only known words are tried one by one.
+    """
     score, back = [0.0] + [-math.inf] * len(piece), [0] * (len(piece) + 1)
-    log_total = math.log(max(total, 1))
+    ten, log_total = math.log(10), math.log(max(total, 1))
+    sizes = sorted({len(w) for w in counts}, reverse=True)
+    begin, best = 0, 0.0
     for end in range(1, len(piece) + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
-            n = counts.get(piece[start:end])
-            p = math.log(n) - log_total if n else math.log(10) * (1 - (end - start)) - log_total
-            if score[start] + p > score[end]:
-                score[end], back[end] = score[start] + p, start
+        score[end], back[end] = best + ten * (1 - end) - log_total, begin
+        for size in sizes:
+            if size <= end and (n := counts.get(piece[end - size : end])):
+                p = score[end - size] + math.log(n) - log_total
+                if p > score[end]:
+                    score[end], back[end] = p, end - size
+        if score[end] + ten * end > best:
+            begin, best = end, score[end] + ten * end
     words, end = [], len(piece)
     while end:
         words.append(piece[back[end] : end])
@@ -106,30 +115,46 @@ def viterbi(piece: str, counts: dict[str, int], total: int) -> list[str]:
 def segmented(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """(piece, words) for the distinct ``piece``; ``counts`` has word and n."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    inside = pieces.where(F.length("piece") <= LONGEST_PIECE).withColumn("start", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece"), F.lit(1)))))
-    inside = inside.withColumn("size", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("piece") - F.col("start") + 1)))))
-    words = inside.select("piece", F.col("piece").substr(F.col("start"), F.col("size")).alias("word")).distinct()
-    known = words.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # at most 20 * 63 a piece
+    longest = pieces.agg(F.coalesce(F.max(F.length("piece")), F.lit(0))).first()[0]
+    size = F.length("word")
+    # lengths of words that fit into some piece: no more than the longest piece has letters
+    sizes = sorted(r[0] for r in counts.where(size <= longest).select(size).distinct().collect())
+    pieces_known = pieces.select("piece", F.lit(None).cast("array<struct<word: string, n: bigint>>").alias("known"))
+    if sizes:
+        start = pieces.where(F.length("piece") > 0).select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("start"))
+        fitting = F.filter(F.array(*map(F.lit, sizes)), lambda s: s <= F.length("piece") - F.col("start") + 1)
+        inside = start.select("piece", "start", F.explode(fitting).alias("size"))
+        words = inside.select("piece", F.col("piece").substr(F.col("start"), F.col("size")).alias("word")).distinct()
+        known = words.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # substrings of one piece
+        pieces_known = pieces.join(known, "piece", "left").select("piece", "known")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             split = [viterbi(p, {k["word"]: k["n"] for k in (known if known is not None else ())}, total) for p, known in zip(batch["piece"], batch["known"], strict=True)]
             yield pd.DataFrame({"piece": batch["piece"], "words": split})
 
-    return pieces.join(known, "piece", "left").select("piece", "known").mapInPandas(run, "piece string, words array<string>")
+    return pieces_known.mapInPandas(run, "piece string, words array<string>")
 
 
-def _path_tokens(path: Column) -> Column:
-    """Lower-case words of a path; a number is one token for its count of digits."""
-    parts = F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.transform(parts, lambda t: F.when(t.rlike(r"\A[0-9]+\z"), F.concat(F.lit("#"), F.length(t).cast("string"))).otherwise(t))
+def tokens_of(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, token): the words of every distinct ``part``, a host or a path, and # with the count of digits for a number."""
+    lower = F.lower("part")
+    pieces = parts.select("part", F.explode(F.split(lower, _NO_LETTERS)).alias("piece")).where("piece <> ''")
+    words = segmented(pieces.select("piece").distinct(), counts)
+    numbers = parts.select("part", F.explode(F.split(lower, r"\P{Nd}+")).alias("number")).where("number <> ''")
+    return pieces.join(words, "piece").select("part", F.explode("words").alias("token")).unionByName(numbers.select("part", F.concat(F.lit("#"), F.length("number").cast("string")).alias("token")))
 
 
-def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, token) for every word of every distinct ``host``."""
-    each = hosts.select("host", F.explode_outer(F.split("host", "[^a-z]+")).alias("piece")).where("piece <> ''")
-    words = cut(segmented(each.select("piece").distinct(), counts))
-    return each.join(words, "piece").select("host", F.explode("words").alias("token"))
+def weights(tokens: DataFrame, shares: tuple[int, int]) -> tuple[DataFrame, float, float]:
+    """(token, weight), the prior and the weight of a token never seen, from (token, block, allow) counts.
+
+    A weight is the log of the token's share among blocked tokens over that among allowed ones, one
+    added to every count; one more token stands for all unseen ones.
+    """
+    size = tokens.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("block"), F.lit(0)).alias("block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow")).first()
+    prior = math.log(shares[0] / shares[1]) if all(shares) else 0.0
+    unseen = math.log((size.allow + size.words + 1) / (size.block + size.words + 1))
+    return tokens.select("token", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + unseen).alias("weight")), prior, unseen
 
 
 def classified(urls: DataFrame, counts: DataFrame) -> DataFrame:
@@ -137,22 +162,18 @@ def classified(urls: DataFrame, counts: DataFrame) -> DataFrame:
 
     ``urls`` is read several times: hand in a written table.
     """
-    seen = urls.where(F.col("verdict").isNotNull()).groupBy("host", "verdict").agg(F.count(F.lit(1)).alias("n"))
-    hosts = cut(host_tokens(urls.select("host").distinct(), counts))
-    of_hosts = hosts.join(seen, "host").groupBy("token", "verdict").agg(F.sum("n").alias("n"))
-    of_paths = urls.where(F.col("verdict").isNotNull()).select("verdict", F.explode(_path_tokens(F.col("path"))).alias("token")).groupBy("token", "verdict").agg(F.count(F.lit(1)).alias("n"))
-    tokens = cut(of_hosts.unionByName(of_paths.select("token", "verdict", "n")).groupBy("token").agg(*(F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("block", "allow"))))
-    size = tokens.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("block"), F.lit(0)).alias("block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow")).first()
-    share = urls.agg(F.count(F.when(F.col("verdict") == "block", 1)).alias("block"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("allow")).first()
-    prior = math.log(share.block / share.allow) if share.block and share.allow else 0.0
-    unseen = math.log((size.allow + size.words + 1) / (size.block + size.words + 1))
-    weights = tokens.select("token", (F.log((F.col("block") + 1) / (F.col("allow") + 1)) + unseen).alias("weight"))
-    by_host = hosts.join(weights, "token", "left").groupBy("host").agg(F.sum(F.coalesce("weight", F.lit(unseen))).alias("host_odds"))
-    # by distinct path, so that a path of very many pages is scored once
-    paths = urls.where(F.col("verdict").isNull()).select("path").distinct()
-    by_path = paths.select("path", F.explode(_path_tokens(F.col("path"))).alias("token")).join(weights, "token", "left").groupBy("path").agg(F.sum(F.coalesce("weight", F.lit(unseen))).alias("path_odds"))
-    odds = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
-    return urls.join(by_host, "host", "left").join(by_path, "path", "left").select(*urls.columns, F.when(F.col("verdict").isNull(), F.round(odds, 9)).alias("block_odds"))
+    both = [F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("block", "allow")]
+    # distinct hosts and paths, with their judged pages
+    parts = cut(urls.groupBy(F.col("host").alias("part")).agg(*both).unionByName(urls.groupBy(F.col("path").alias("part")).agg(*both)))
+    found = cut(tokens_of(parts.select("part").distinct(), counts).groupBy("part", "token").agg(F.count(F.lit(1)).alias("times")))
+    tokens = found.join(parts, "part").groupBy("token").agg(*(F.sum(F.col("times") * F.col(v)).alias(v) for v in ("block", "allow"))).where("block + allow > 0")
+    share = urls.agg(*both).first()
+    weighed, prior, unseen = weights(cut(tokens), (share.block, share.allow))
+    odds = found.join(weighed, "token", "left").groupBy("part").agg(F.sum(F.col("times") * F.coalesce("weight", F.lit(unseen))).alias("odds"))
+    odds = cut(odds)
+    total = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
+    scored = urls.join(odds.toDF("host", "host_odds"), "host", "left").join(odds.toDF("path", "path_odds"), "path", "left")
+    return scored.select(*urls.columns, F.when(F.col("verdict").isNull(), F.round(total, 9)).alias("block_odds"))
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
