@@ -2,7 +2,8 @@
 
 Tasks turn each whole text into a row of statistics. The trees are fitted on a bounded sample of the
 labelled rows: at most ``most`` of them, those with the smallest hash of the id, as many at every
-size of the input. Only their statistics reach the driver, so ``most`` bounds its memory. A tree is a
+size of the input. Only their statistics reach the driver, one row for each id, so ``most`` bounds its
+memory. Of documents that share a sampled id, the text with the smallest hash is learned. A tree is a
 full binary tree of fixed depth, and the forest is three flat arrays, so a batch of rows goes down
 one level of all trees by indexing.
 
@@ -24,30 +25,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_text
+from .common import cut, id_back, id_text
 
 #: Of each text; see statistics().
 FEATURES = ("chars", "words", "mean_word", "long_words", "letters", "upper", "digits", "spaces", "marks", "symbols", "bars", "exclaims", "other", "distinct", "top_word", "repeats", "distinct_pairs", "lines", "distinct_lines", "top_char", "entropy", "marked_words", "upper_words", "sentence", "sd_word", "distinct_tail")
 _LETTER, _UPPER, _DIGIT, _SPACE, _MARK, _SYMBOL, _BAR, _EXCLAIM, _OTHER = range(9)
 
 
-def _classes() -> np.ndarray:
-    kind = np.full(0x10000, _OTHER, np.uint8)
-    for i in range(0x10000):
-        c = chr(i)
-        if c.isalpha():
-            kind[i] = _UPPER if c.isupper() else _LETTER
-        elif c.isdigit():
-            kind[i] = _DIGIT
-        elif c.isspace():
-            kind[i] = _SPACE
-    for chars, k in ((".,;:'\"()-?", _MARK), ("#$%&*@^~+=<>/\\_{}[]", _SYMBOL), ("|", _BAR), ("!", _EXCLAIM)):
-        for c in chars:
-            kind[ord(c)] = k
-    return kind
+# Characters of classes of their own.
+_OWN = {_MARK: ".,;:'\"()-?", _SYMBOL: "#$%&*@^~+=<>/\\_{}[]", _BAR: "|", _EXCLAIM: "!"}
 
 
-_KIND = _classes()
+def _class(c: str) -> int:
+    own = next((k for k, chars in _OWN.items() if c in chars), None)
+    if own is not None:
+        return own
+    if c.isalpha():
+        return _UPPER if c.isupper() else _LETTER
+    return _DIGIT if c.isdigit() else _SPACE if c.isspace() else _OTHER
+
+
+_KIND = np.array([_class(chr(i)) for i in range(0x10000)], np.uint8)  # rarer characters are classified as they come
 _CHUNK = 1 << 20
 
 
@@ -58,7 +56,9 @@ def statistics(text: str | None) -> list[float]:
     kinds, chars = np.zeros(9, np.int64), np.zeros(256, np.int64)
     for at in range(0, len(text), _CHUNK):
         codes = np.frombuffer(text[at : at + _CHUNK].encode("utf-32-le", "surrogatepass"), "<u4")
-        kinds += np.bincount(_KIND[np.minimum(codes, 0xFFFF)], minlength=9)
+        kinds += np.bincount(_KIND[codes[codes <= 0xFFFF]], minlength=9)
+        for c, times in zip(*(x.tolist() for x in np.unique(codes[codes > 0xFFFF], return_counts=True)), strict=True):
+            kinds[_class(chr(c))] += times
         chars += np.bincount(codes & 0xFF, minlength=256)
     n, words, lines = len(text), text.split(), text.splitlines()
     counts, m = Counter(words), max(1, len(words))
@@ -153,13 +153,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, **how) -> Fore
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("label")).where("label <> 0.5")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sample = known.select("doc_id", F.round("label").cast("int").alias("label")).orderBy(order).limit(most)
-    texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # bounded by ``most``
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("content")).join(F.broadcast(sample), "doc_id")  # bounded by ``most``
+    # one text for each id, whatever the order of the rows; combined before the shuffle
+    chosen = cut(held.groupBy("doc_id").agg(F.min("content").alias("content")))
+    texts = held.join(F.broadcast(chosen), ["doc_id", "content"])  # bounded by ``most``
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "stats": list(_measured(batch))})
 
-    seen = texts.mapInPandas(run, "doc_id long, label int, stats array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    measured = texts.select("doc_id", "text", "label").mapInPandas(run, "doc_id long, label int, stats array<double>")
+    # rows that repeat have equal statistics
+    seen = measured.groupBy("doc_id").agg(F.first("label").alias("label"), F.first("stats").alias("stats")).toPandas().sort_values("doc_id")
     rows = np.array(list(seen["stats"]), np.float64).reshape(len(seen), len(FEATURES))
     return fit(rows, seen["label"].to_numpy(np.float64), **how)
 
