@@ -15,7 +15,10 @@ Of texts that are equal as a whole, found by a digest first, only that of the sm
 through this; the others lose all their bytes, if they have ``length`` of them.
 
 An anchor that occurs over ``crowded`` times, as a common phrase does, would fill a shard with its
-contexts: its strings travel one by one instead, each to the shard of its own hash.
+contexts: its strings travel one by one instead, each to the shard of its own hash. A string has a row
+for each group that holds it; beyond ``part_groups`` of these it is dealt to several shards, each of
+which finds its first document there, and a last pass compares these firsts. The windows by anchor and
+by string see a row per group of some ``group_bytes`` of text at most, less than a partition's worth.
 
 Edge cases: a null text counts as empty; texts shorter than ``length`` keep all; a null doc_id is
 larger than every other; documents of the same id, and those without, don't remove from each other;
@@ -54,6 +57,7 @@ class Plan:
     crowded: int = 50_000
     group_bytes: int = 4 << 20
     shard_bytes: int = 2 << 20
+    part_groups: int = 4096  # groups whose rows of one crowded string share a task
 
 
 def _rolling(buf: np.ndarray, size: int) -> np.ndarray:
@@ -210,10 +214,13 @@ def _earlier(contexts: list[bytes], first: np.ndarray, plan: Plan) -> list[int]:
     text[starts[1:] - 1] = 1  # between two
     owner = np.repeat(np.arange(len(contexts)), lengths)
     order = suffix_array(text, 258)
-    order = order[order < len(owner)]
-    begins = order[order + plan.length < starts[owner[order]] + lengths[owner[order]]]
-    shared = common_prefixes(text, begins, plan.length)
-    cuts = np.flatnonzero(shared < plan.length)
+    shared = common_prefixes(text, order, plan.length)
+    inside = order < len(owner)
+    inside[inside] = order[inside] + plan.length < starts[owner[order[inside]]] + lengths[owner[order[inside]]]
+    begins = order[inside]
+    # the least prefix shared on the way from one of them to the next
+    at = np.flatnonzero(inside)
+    cuts = np.flatnonzero(np.r_[True, np.minimum.reduceat(shared[: at[-1] + 1], np.r_[0, at[:-1] + 1])[1:] < plan.length])
     earliest = np.repeat(np.minimum.reduceat(first[owner[begins]], cuts), np.diff(np.r_[cuts, len(begins)]))
     masks = [0] * len(contexts)
     hit = earliest < first[owner[begins]]
@@ -222,8 +229,11 @@ def _earlier(contexts: list[bytes], first: np.ndarray, plan: Plan) -> list[int]:
     return masks
 
 
-def matches_of(shard: pd.DataFrame, plan: Plan) -> pd.DataFrame:
-    """group, kind, key, anchor, digest, lo, mask of each context of a shard; -1 stands for all its strings."""
+def matches_of(shard: pd.DataFrame, plan: Plan, parts: bool = False) -> pd.DataFrame:
+    """group, kind, key, anchor, digest, lo, mask, several of each context of a shard; mask -1 stands for all its strings.
+
+    With ``parts``, crowded strings are in other shards as well, and all of them come back.
+    """
     keys, told = shard["key"].to_numpy(np.int64), shard["told"].to_numpy(np.int64)
     lo, texts = shard["lo"].to_numpy(np.int64), shard["context"].tolist()
     number: dict[tuple, int] = {}
@@ -238,8 +248,9 @@ def matches_of(shard: pd.DataFrame, plan: Plan) -> pd.DataFrame:
         names = [*number]
         mask[several] = _earlier([names[i][1] for i in several.tolist()], first[several], plan)
     own = np.where(lo > first[which], np.int64(-1), mask[which])
-    keep = np.flatnonzero((own != 0) | (told & 1 == 1))
-    return pd.DataFrame({"group": told[keep] >> 2, "kind": np.where(told[keep] & 2, _CROWDED, _USUAL).astype(np.int32), "key": keys[keep], "anchor": shard["anchor"].to_numpy(np.int64)[keep], "digest": [xxhash.xxh3_128_digest(texts[i]) for i in keep.tolist()], "lo": lo[keep], "mask": own[keep]})
+    crowded = told & 2 != 0
+    keep = np.flatnonzero((own != 0) | (told & 1 == 1) | (crowded if parts else False))
+    return pd.DataFrame({"group": told[keep] >> 2, "kind": np.where(crowded[keep], _CROWDED, _USUAL).astype(np.int32), "key": keys[keep], "anchor": shard["anchor"].to_numpy(np.int64)[keep], "digest": [xxhash.xxh3_128_digest(texts[i]) for i in keep.tolist()], "lo": lo[keep], "mask": own[keep], "several": told[keep] & 1 == 1})
 
 
 def removed_of(docs: pd.DataFrame, found: pd.DataFrame, plan: Plan, with_text: bool = False) -> pd.DataFrame:
@@ -305,7 +316,7 @@ def deduplicated(docs: DataFrame, plan: Plan = Plan(), *, with_text: bool = Fals
     shards = max(1, -(-(size.bytes or 0) // plan.shard_bytes))
     place = F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("long")
     text = F.coalesce("text", F.lit(""))
-    dealt = docs.select(id_text(), place.alias("place"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(groups)).alias("group"))
+    dealt = docs.select(id_text(), place.alias("place"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.pmod(F.xxhash64("doc_id", F.md5(text.cast("binary"))), F.lit(groups)).alias("group"))
     copies = cut(_copies(dealt)).toDF("group", "place", "digest")  # names of its own, apart from those of the texts
     in_groups, copied = dealt.groupBy("group"), copies.groupBy("group")
     anchors = in_groups.cogroup(copied).applyInPandas(lambda a, b: anchors_of(_without(a, b), plan), "key long, told long")
@@ -322,8 +333,16 @@ def deduplicated(docs: DataFrame, plan: Plan = Plan(), *, with_text: bool = Fals
         return contexts_of(_without(texts, told[copy].rename(columns={"key": "place"})), wanted.assign(crowded=wanted["kind"] == _CROWDED), plan)
 
     contexts = in_groups.cogroup(wanted.unionByName(marks).groupBy("group")).applyInPandas(gather, "key long, anchor long, context binary, told long, lo long")
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    found = contexts.groupBy(shard).applyInPandas(lambda pdf: matches_of(pdf, plan), "group long, kind int, key long, anchor long, digest binary, lo long, mask long")
+    parts = -(-groups // plan.part_groups)
+    salt = F.when(F.col("told").bitwiseAND(F.lit(2)) != 0, F.pmod(F.shiftright("told", 2), F.lit(parts))).otherwise(zero)
+    shard = F.pmod(F.xxhash64("key", salt) if parts > 1 else F.xxhash64("key"), F.lit(shards)).alias("shard")
+    found = contexts.groupBy(shard).applyInPandas(lambda pdf: matches_of(pdf, plan, parts > 1), "group long, kind int, key long, anchor long, digest binary, lo long, mask long, several boolean")
+    if parts > 1:
+        # a crowded string's first document over all its shards; usual contexts are spread, each alone
+        alone = F.when(F.col("kind") == _CROWDED, zero).otherwise(F.col("group") + 1)
+        least = F.min("lo").over(Window.partitionBy("key", "digest", alone))
+        found = found.withColumn("mask", F.when((F.col("kind") == _CROWDED) & (F.col("lo") > least), F.lit(-1).cast("long")).otherwise(F.col("mask"))).where((F.col("mask") != 0) | F.col("several"))
+    found = found.drop("several")
     # no nulls, which pandas would make floats
     answers = found.unionByName(marks.withColumns({c: zero for c in ("anchor", "lo", "mask")}))
 
