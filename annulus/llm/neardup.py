@@ -22,44 +22,28 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import hamming
-from .common import cut, fresh, id_back, id_text
+from . import hamming, minhash
+from .common import cut, fresh, id_back, id_text, quoted
 from .graph import components
 
 _CHUNK = 1 << 15
 
 
-def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
-    """Hashes for the fingerprint of that number; the first has them as they are."""
-    if not number:
-        return hashes
-    with np.errstate(over="ignore"):
-        z = (hashes ^ np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return z ^ (z >> np.uint64(32))
-
-
 def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The fingerprint as an unsigned integer."""
-    return simhashes(text, width, seed, 1)[0]
-
-
-def simhashes(text: str | None, width: int, seed: int, number: int) -> list[int]:
-    """``number`` independent fingerprints of one pass over the text."""
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return [0] * number
+        return 0
     line = memoryview(b" ".join(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: max(1, len(words) - width + 1)].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    votes, digest = np.zeros((number, 64), np.int64), xxhash.xxh64_intdigest
+    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), _CHUNK):
         hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], "<u8")
-        for i in range(number):
-            votes[i] += np.unpackbits(_mixed(hashes, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(starts), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -89,48 +73,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def content_groups(docs: DataFrame, width: int, seed: int, number: int, most: int = 64) -> DataFrame:
-    """doc_id, content and component of every row, where texts link if any of ``number`` fingerprints is close.
-
-    A component is the smallest content hash that it holds. Two bits of 64 are few for texts that are
-    alike but not nearly equal; each further fingerprint is another chance for these, and none for
-    texts that aren't alike.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["fps"] = [np.array(simhashes(t, width, seed, number), np.uint64).view(np.int64) for t in batch["text"]]
-            yield batch[["doc_id", "content", "fps"]]
-
-    rows = docs.select(id_text(), "text", F.xxhash64("text").alias("content"))
-    prints = cut(id_back(rows.mapInPandas(run, "doc_id string, content long, fps array<long>")))
-    links = None
-    for i in range(number):
-        held = prints.select("content", F.get("fps", i).alias("fp"))
-        roots = cut(held.groupBy("fp").agg(F.min("content").alias("root")))
-        same = held.join(roots, "fp").where(F.col("content") != F.col("root")).select(F.col("content").alias("u"), F.col("root").alias("v"))
-        close = hamming.edges(roots.select("fp"), most)
-        close = close.join(roots.select(F.col("fp").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("fp").alias("v"), F.col("root").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = same.unionByName(close).distinct()
-        links = both if links is None else links.unionByName(both)
-    linked = components(links)
-    return prints.select("doc_id", "content").join(linked.withColumnRenamed("node", "content"), "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))
-
-
-def deduplicated(docs: DataFrame, width: int = 5, seed: int = 42, number: int = 1) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
     """``docs`` with one document of each group: that with the smallest id, a null id last; of equal ids, the smallest hash of the text."""
-    return first_of_groups(docs, content_groups(docs, width, seed, number))
+    return first_of_groups(docs, minhash.content_groups(docs, width, seed, least))
 
 
 def first_of_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component of ``placed`` (doc_id, content, component), chosen as ``deduplicated`` does."""
-    found = cut(placed.groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("times")))
-    first = Window.partitionBy("component").orderBy(F.asc_nulls_last("doc_id"), "content")
-    kept = found.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), "times")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__content"))
-    if not kept.where("times > 1").isEmpty():  # whole rows repeat: one of them stays
-        nth = fresh(docs, "__nth")
-        one = docs.join(kept, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))))
-        return one.where(F.col(nth) == 1).drop(nth)
-    return docs.join(kept, same, "left_semi")
+    """``docs`` with one document of each component of ``placed`` (doc_id, content, component), chosen as ``deduplicated`` does.
+
+    Of rows that repeat id and text, that with the smallest hash of all other columns stays.
+    """
+    # a minimum is combined before the shuffle, however large the component
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
+    of_id, of_text, rest, nth = (fresh(docs, c) for c in ("first_id", "first_content", "rest", "nth"))
+    kept = cut(first.select(F.col("first.doc_id").alias(of_id), F.col("first.content").alias(of_text)))
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_text)), "left_semi")
+    repeated = placed.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    if repeated.join(kept, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col("content") == F.col(of_text)), "left_semi").isEmpty():
+        return one
+    others = F.xxhash64(F.to_json(F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias(rest))))
+    # Spark ranks in each partition before the shuffle as well
+    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(others))
+    return one.withColumn(nth, place).where(F.col(nth) == 1).drop(nth)
