@@ -5,6 +5,10 @@ rule version that was ever scanned, with the findings; a scan reads the text of
 pair that the ledger lacks, and findings go back by address to every document that holds the blob.
 So copies and unchanged versions cost a hash and no scan.
 
+Texts stay where they are read as long as the table that picks them is small: the blobs that several
+documents hold, when there is no ledger yet, the blobs to scan, when there is one, or the blobs with
+findings, when these are masked. Above a checked bound they cross one shuffle, with equal results.
+
 Rules: the base kinds assign, access and hex (version ``base-1``), and further kinds (version
 ``extra-1``) for token formats whose prefix is public. Spans count code points, end exclusive.
 
@@ -22,9 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, quoted
 
 BASE, EXTRA = "base-1", "extra-1"
+#: Up to so many blobs, and findings of theirs, are broadcast to the texts; above, the join shuffles.
+BROADCAST_BLOBS = 100_000
 KINDS = ("assign", "access", "hex")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -65,26 +71,33 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, versions: tuple[str, ...] = (BASE, EXTRA)) -> DataFrame:
-    """New rows of the ledger: blob, version, findings, for the pairs that ``ledger`` lacks.
-
-    Each unseen blob is read in one document, that with the smallest id; the text goes by id to a
-    join with these, so a blob that a third of the rows hold crosses no shuffle but once.
-    """
+def _texts(docs: DataFrame, ledger: DataFrame | None, versions: tuple[str, ...], most: int) -> DataFrame:
+    """blob, text and versions of one document, that with the smallest id, for each blob that has unseen versions."""
     paths = docs.select("doc_id", "text", blob_id(F.col("text")).alias("blob"))
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    wanted = blobs.withColumn("version", F.explode(F.array(*map(F.lit, versions))))
-    if ledger is not None:
-        wanted = wanted.join(ledger.select("blob", "version"), ["blob", "version"], "left_anti")
-    todo = wanted.groupBy(F.col("blob").alias("unseen")).agg(F.min("doc_id").alias("at"), F.collect_set("version").alias("versions"))
-    texts = paths.join(todo, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("unseen"))).select("blob", "text", "versions")
+    blobs = paths.groupBy(F.col("blob").alias("unseen")).agg(F.min("doc_id").alias("at"), F.count(F.lit(1)).alias("times"))
+    here = F.col("doc_id").eqNullSafe(F.col("at"))
+    if ledger is None:
+        blobs = cut(blobs)
+        several = blobs.where("times > 1")
+        if several.count() <= most:
+            found = paths.join(F.broadcast(several), F.col("blob") == F.col("unseen"), "left").where(F.col("unseen").isNull() | here)
+        else:
+            found = paths.join(blobs, (F.col("blob") == F.col("unseen")) & here)
+        return found.select("blob", "text", F.array(*map(F.lit, versions)).alias("versions"))
+    wanted = blobs.withColumn("version", F.explode(F.array(*map(F.lit, versions)))).join(ledger.select(F.col("blob").alias("unseen"), "version"), ["unseen", "version"], "left_anti")
+    todo = cut(wanted.groupBy("unseen").agg(F.min("at").alias("at"), F.collect_set("version").alias("versions")))
+    return paths.join(F.broadcast(todo) if todo.count() <= most else todo, (F.col("blob") == F.col("unseen")) & here).select("blob", "text", "versions")
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, versions: tuple[str, ...] = (BASE, EXTRA), most: int = BROADCAST_BLOBS) -> DataFrame:
+    """New rows of the ledger: blob, version, findings, for the pairs that ``ledger`` lacks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(blob, v, [dict(zip(("start", "end", "kind"), s, strict=True)) for s in RULES[v](text or "")]) for blob, text, of in zip(batch["blob"], batch["text"], batch["versions"], strict=True) for v in of]
             yield pd.DataFrame(found, columns=["blob", "version", "findings"])
 
-    return texts.mapInPandas(run, f"blob string, version string, findings {_FINDINGS}").dropDuplicates(["blob", "version"])
+    return _texts(docs, ledger, versions, most).mapInPandas(run, f"blob string, version string, findings {_FINDINGS}").dropDuplicates(["blob", "version"])
 
 
 def update(docs: DataFrame, path: str | None = None, versions: tuple[str, ...] = (BASE, EXTRA)) -> DataFrame:
@@ -102,15 +115,19 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def findings(docs: DataFrame, ledger: DataFrame, versions: tuple[str, ...] = (BASE, EXTRA)) -> DataFrame:
-    """One row per document: doc_id, blob, base and spans (arrays in the order of start, then kind as listed)."""
+def blob_findings(ledger: DataFrame, versions: tuple[str, ...] = (BASE, EXTRA)) -> DataFrame:
+    """blob, base and spans (arrays in the order of start, then kind as listed) of the blobs that have findings."""
     rank = F.array(*map(F.lit, (*KINDS, *_EXTRA)))
     keyed = lambda s: F.struct(s["start"], F.array_position(rank, s["kind"]).alias("rank"), s["end"], s["kind"])
-    hits = ledger.where(F.col("version").isin(*versions) & (F.size("findings") > 0))
-    # one row for each blob that has findings; all others need none
+    # runs that scanned at the same time may both have left a pair
+    hits = ledger.where(F.col("version").isin(*versions) & (F.size("findings") > 0)).dropDuplicates(["blob", "version"])
     found = hits.groupBy("blob").agg(F.flatten(F.collect_list(F.when(F.col("version") == BASE, F.col("findings")))).alias("base"), F.flatten(F.collect_list("findings")).alias("spans"))
-    found = found.select("blob", *(F.array_sort(F.transform(F.col(c), keyed)).alias(c) for c in ("base", "spans")))
-    return docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(found, "blob", "left")
+    return found.select("blob", *(F.array_sort(F.transform(F.col(c), keyed)).alias(c) for c in ("base", "spans")))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, versions: tuple[str, ...] = (BASE, EXTRA)) -> DataFrame:
+    """One row per document: doc_id, blob, base and spans."""
+    return docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(blob_findings(ledger, versions), "blob", "left")
 
 
 def _is(kind: str):
@@ -126,28 +143,31 @@ def report(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
-def redacted(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", most: int = BROADCAST_BLOBS) -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), n_chars set anew."""
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["text"] = [t if t is None or s is None else _masked(t, s, mark) for t, s in zip(batch["text"], batch["found"], strict=True)]
-            yield batch[["blob", "text"]]
 
-    blobs = findings(docs, ledger).where(F.col("spans").isNotNull()).groupBy("blob").agg(F.min("doc_id").alias("at"), F.first("spans").alias("found"))
-    blobs = blobs.withColumnRenamed("blob", "dirty")
-    held = docs.select("doc_id", "text", blob_id(F.col("text")).alias("blob"))
-    dirty = held.join(blobs, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("dirty"))).select("blob", "text", "found")
-    cleaned = cut(dirty.mapInPandas(clean, "blob string, text string").dropDuplicates(["blob"])).withColumnsRenamed({"blob": "__blob", "text": "__text"})
-    joined = docs.join(cleaned, blob_id(docs["text"]) == cleaned["__blob"], "left")
-    text = F.coalesce(cleaned["__text"], docs["text"])
-    made = {"text": text} | ({"n_chars": F.when(cleaned["__text"].isNotNull(), F.length(cleaned["__text"]).cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
-    return joined.select(*(made[c].alias(c) if c in made else docs[c] for c in docs.columns))
+    def clean(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _masked(t, zip(a, b, strict=True), mark) for t, a, b in zip(texts, starts, ends, strict=True)], dtype=object)
+
+    clean.__annotations__ = {"texts": pd.Series, "starts": pd.Series, "ends": pd.Series, "return": pd.Series}  # names, not strings
+    blob, starts, ends, new = (fresh(docs, c) for c in ("dirty_blob", "starts", "ends", "new_text"))
+    dirty = blob_findings(ledger).select(F.col("blob").alias(blob), F.col("spans.start").alias(starts), F.col("spans.end").alias(ends))
+    dirty = cut(dirty)
+    held = dirty.agg(F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum(F.size(starts)), F.lit(0)).alias("spans")).first()
+    few = held.blobs <= most and held.spans <= 10 * most
+    joined = docs.join(F.broadcast(dirty) if few else dirty, blob_id(F.col("text")) == F.col(blob), "left")
+    found = F.col(blob).isNotNull() & F.col("text").isNotNull()
+    # only texts with findings go to Python
+    joined = joined.withColumn(new, F.pandas_udf(clean, "string")(F.when(found, F.col("text")), starts, ends))
+    made = {"text": F.when(found, F.col(new)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(found, F.length(new).cast("long")).otherwise(F.col("n_chars"))
+    return joined.select(*(made.get(c, F.col(quoted(c))).alias(c) for c in docs.columns))
 
 
 def _masked(text: str, spans, mark: str) -> str:
     out, at = [], 0
-    for s in spans:  # by start
-        a, b = s["start"], s["end"]
+    for a, b in spans:  # by start
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
