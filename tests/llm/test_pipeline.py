@@ -8,9 +8,10 @@ import zlib
 import corpus_pipeline
 import pytest
 
-from annulus.llm import neardup, quality, queries, secrets
+from annulus.llm import quality, queries, secrets
 
 from .helpers import SCHEMA, prose
+from .test_minhash import brute as minhash_brute
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -37,20 +38,9 @@ def brute(rows):
     known = [(i, t) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
     forest = quality.fit(np.array([quality.statistics(t) for _, t in known]), np.array([float(i % 8 != 0) for i, _ in known]))
     kept = [r for r in rows if forest.score(np.array([quality.statistics(r[1])]))[0] >= 0.5]
-    prints, parent = {r[0]: neardup.simhashes(r[1], 5, 42, 4) for r in kept}, {r[0]: r[0] for r in kept}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in prints:
-        for b in prints:
-            if a < b and any(bin(x ^ y).count("1") <= 2 for x, y in zip(prints[a], prints[b], strict=True)):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    kept = [r for r in kept if find(r[0]) == r[0]]
-    masked = [(i, secrets._masked(t, sorted(({"start": a, "end": b} for a, b, _ in secrets.base_spans(t) + secrets.extra_spans(t)), key=lambda s: s["start"]), "[SECRET]"), s) for i, t, _, s, _ in kept]
+    alike = minhash_brute([r[:2] for r in kept])
+    kept = [r for r in kept if r[0] in alike]
+    masked = [(i, secrets._masked(t, sorted((a, b) for a, b, _ in secrets.base_spans(t) + secrets.extra_spans(t)), "[SECRET]"), s) for i, t, _, s, _ in kept]
     size = {i: len(WORD.findall(t)) for i, t, _ in masked}
     order = sorted({s for *_, s in masked}, key=lambda s: (s is None, s))
     total = {s: sum(size[i] for i, _, o in masked if o == s) for s in order}
@@ -66,7 +56,7 @@ def brute(rows):
         target = 3 * total[s] if s in held else weight[s] * level
         whole = int(target // total[s])
         left = round(target - whole * total[s])
-        for i, t, _ in sorted((m for m in masked if m[2] == s), key=lambda m: hashlib.md5(f"0:{m[0]}".encode()).hexdigest()):
+        for i, t, _ in sorted((m for m in masked if m[2] == s), key=lambda m: hashlib.md5(f"0:{m[0]}:{hashlib.md5(m[1].encode()).hexdigest()}".encode()).hexdigest()):
             extra = max(0, min(left, size[i]))
             left -= size[i]
             for text in [t] * whole + ([t if extra == size[i] else " ".join(WORD.findall(t)[:extra])] if extra else []):
