@@ -102,29 +102,37 @@ class Graph:
         return sorted((round(d, 12), int(self.ids[n])) for d, n in found)[:k]
 
 
-def shards_for(n: int, shards: int, most: int = 50_000) -> int:
+def shards_for(n: int, shards: int, most: int = 4096) -> int:
     """At least ``shards``, and as many as keep a graph at ``most`` vectors."""
     return max(shards, -(-n // most))
 
 
-def build(sharded: DataFrame, m: int, ef_construction: int) -> DataFrame:
-    """shard, size, graph (binary): one graph per shard of ``sharded`` (shard, vec_id, embedding). Empty shards have none."""
+def build(sharded: DataFrame, m: int, ef_construction: int, shards: int | None = None) -> DataFrame:
+    """shard, size, graph (binary): one graph per shard of ``sharded`` (shard, vec_id, embedding). Empty shards have none.
+
+    With their number, ``shards`` get a task each; else Spark may join small ones.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         graph = Graph.build(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(np.float64), m, ef_construction)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "size": [len(pdf)], "graph": [pickle.dumps(graph)]})
 
-    return sharded.select("shard", "vec_id", "embedding").groupBy("shard").applyInPandas(run, "shard int, size long, graph binary")
+    held = sharded.select("shard", "vec_id", "embedding")
+    if shards:
+        held = held.repartitionByRange(shards, "shard")
+    return held.groupBy("shard").applyInPandas(run, "shard int, size long, graph binary")
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int, ef: int, block: int = 4096) -> DataFrame:
-    """qid, rank, dist, vec_id: every query against every shard's graph, in blocks of queries, and the merged best."""
+    """qid, rank, dist, vec_id: every query against every shard's graph, in blocks of queries, and the merged best.
+
+    ``graphs`` is read twice: hand in a written table.
+    """
     from pyspark.sql import functions as F
 
     blocks = max(1, -(-queries.count() // block))
-    shards = graphs.select("shard")
-    asked = queries.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    asked = asked.join(shards.crossJoin(queries.sparkSession.range(blocks).withColumnRenamed("id", "block")), "block")
+    shards = (graphs.agg(F.max("shard")).first()[0] or 0) + 1
+    asked = queries.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     held = graphs.select("shard", "graph").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -6,10 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .topk import top_k
+from .numbered import numbered
+
+#: Bytes of centroids that are sent to the executors at most.
+CENTROID_BYTES = 1 << 30
+_SLICE = 256
 
 
 def stride(n: int, train: int) -> int:
@@ -42,13 +47,22 @@ def _nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin(np.round(1 - rows @ centroids.T, 12), axis=1).astype(np.int32)
 
 
+def shared(spark: SparkSession, centroids: np.ndarray) -> Broadcast:
+    """The centroids, sent to each executor once; ValueError if they are too many for that."""
+    if centroids.nbytes > CENTROID_BYTES:
+        raise ValueError(f"{centroids.nbytes} bytes of centroids are over {CENTROID_BYTES}: train fewer lists")
+    return spark.sparkContext.broadcast(centroids)
+
+
 def assign(base: DataFrame, centroids: np.ndarray) -> DataFrame:
     """vec_id, list_id, embedding. Only the centroids are sent out."""
+    sent = shared(base.sparkSession, centroids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                batch["list_id"] = _nearest(np.stack(batch["embedding"].to_numpy()).astype(np.float64), centroids)
+                rows = np.stack(batch["embedding"].to_numpy())
+                batch["list_id"] = np.concatenate([_nearest(rows[at : at + _SLICE].astype(np.float64), sent.value) for at in range(0, len(rows), _SLICE)])
                 yield batch[["vec_id", "list_id", "embedding"]]
 
     return base.select("vec_id", "embedding").mapInPandas(run, "vec_id long, list_id int, embedding array<float>")
@@ -56,16 +70,17 @@ def assign(base: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def step(sample: DataFrame, centroids: np.ndarray, fallback: np.ndarray) -> np.ndarray:
     """One Lloyd iteration: means of the assigned vectors; a list without any gets its row of ``fallback``."""
+    sent = shared(sample.sparkSession, centroids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:  # one partial sum per list and batch
             if not len(batch):
                 continue
             rows = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            lists = _nearest(rows, centroids)
-            sums = np.zeros_like(centroids)
+            lists = _nearest(rows, sent.value)
+            sums = np.zeros_like(sent.value)
             np.add.at(sums, lists, rows)
-            counts = np.bincount(lists, minlength=len(centroids))
+            counts = np.bincount(lists, minlength=len(sums))
             some = np.flatnonzero(counts)
             yield pd.DataFrame({"list_id": some.astype(np.int32), "n": counts[some], "sums": list(sums[some])})
 
@@ -93,7 +108,7 @@ def centroid_table(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
 
 def inverted_lists(assigned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``assigned`` with pos, from 1 in each list (of each shard), by ascending id."""
-    return assigned.withColumn("pos", F.row_number().over(Window.partitionBy(*by, "list_id").orderBy("vec_id")))
+    return numbered(assigned, [*by, "list_id"], ["vec_id"], "pos")
 
 
 def list_sizes(assigned: DataFrame, nlist: int) -> DataFrame:
@@ -110,8 +125,16 @@ def offsets(sizes: DataFrame) -> DataFrame:
 
 def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     """qid, qv, list_id, dist, probe_rank of each query's nearest lists."""
-    table = F.broadcast(centroid_table(queries.sparkSession, centroids))
-    from ..functions.distance import ip_distance
+    sent = shared(queries.sparkSession, centroids)
 
-    pairs = queries.crossJoin(table).withColumn("dist", F.round(ip_distance(F.col("qv"), F.col("centroid")), 12))
-    return top_k(pairs, nprobe, order=("dist", "list_id"), rank="probe_rank").select("qid", "qv", "list_id", "dist", "probe_rank")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), _SLICE):
+                some = batch.iloc[at : at + _SLICE]
+                dist = np.round(1 - np.stack(some["qv"].to_numpy()).astype(np.float64) @ sent.value.T, 12)
+                near = np.argsort(dist, axis=1, kind="stable")[:, :nprobe]
+                n = near.shape[1]
+                yield pd.DataFrame({"qid": np.repeat(some["qid"].to_numpy(np.int64), n), "qv": [v for v in some["qv"] for _ in range(n)], "list_id": near.ravel().astype(np.int32), "dist": np.take_along_axis(dist, near, axis=1).ravel(), "probe_rank": np.tile(np.arange(1, n + 1, dtype=np.int32), len(some))})
+
+    kind = dict(queries.dtypes)["qv"]
+    return queries.select("qid", "qv").mapInPandas(run, f"qid long, qv {kind}, list_id int, dist double, probe_rank int")

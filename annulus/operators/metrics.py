@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import rounded
 
+# Fixed values.
 #: (metric, factor over the group's median, whether latency must be over 1.10 times its own as well).
 OUTLIER_RULES = (("latency_us", 1.15, False), ("gather_us", 4.0, True), ("search_max_us", 1.30, True))
 
@@ -26,10 +27,11 @@ def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left:
     """``runs`` with reasons and removed.
 
     In groups of at least ``least_runs``, a run is flagged if a metric is over its factor of the group's
-    median; flagged runs are removed only if ``least_left`` stay. Medians are exact, in one aggregate.
+    median; flagged runs are removed only if ``least_left`` stay. Medians are exact. The input is read
+    once and shuffled once, by the keys.
     """
-    medians = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *(F.median(m).alias(f"__{m}") for m, _, _ in OUTLIER_RULES))
-    joined = runs.join(medians, keys)
+    group = Window.partitionBy(*keys)
+    joined = runs.withColumns({"__n": F.count(F.lit(1)).over(group)} | {f"__{m}": F.median(m).over(group) for m, _, _ in OUTLIER_RULES})
     slow = F.col("latency_us") > 1.10 * F.col("__latency_us")
     reasons = []
     for metric, factor, with_latency in OUTLIER_RULES:
@@ -38,8 +40,8 @@ def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left:
             over = over & (F.col(f"__{metric}") > 0) & slow
         reasons.append(F.when(over, F.lit(f"{metric} > {factor:.2f} x median")))
     flagged = joined.withColumn("reasons", F.when(F.col("__n") >= least_runs, F.concat_ws("; ", *reasons)).otherwise(F.lit("")))
-    left = flagged.groupBy(*keys).agg(F.count(F.when(F.col("reasons") == "", 1)).alias("__left"))
-    marked = flagged.join(left, keys).withColumn("removed", (F.col("reasons") != "") & (F.col("__left") >= least_left))
+    left = F.count(F.when(F.col("reasons") == "", 1)).over(group)
+    marked = flagged.withColumn("__left", left).withColumn("removed", (F.col("reasons") != "") & (F.col("__left") >= least_left))
     return marked.select(*runs.columns, F.when(F.col("removed"), F.col("reasons")).otherwise(F.lit("")).alias("reasons"), "removed")
 
 
@@ -49,8 +51,9 @@ def cleaned(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def counted_summary(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Means of the runs that stay after cleaning, with used_count and raw_count."""
-    used = summary(cleaned(runs, keys), keys, metrics, 8).withColumnRenamed("runs", "used_count")
-    return used.join(runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("raw_count")), keys)
+    stays = ~F.col("removed")
+    means = (rounded(F.avg(F.when(stays, F.col(m))), 8).alias(f"{m}_mean") for m in metrics)
+    return outliers(runs, keys).groupBy(*keys).agg(F.count(F.when(stays, 1)).alias("used_count"), *means, F.count(F.lit(1)).alias("raw_count"))
 
 
 def speedup(means: DataFrame, by: list[str], size: str, latency: str) -> DataFrame:

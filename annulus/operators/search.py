@@ -12,16 +12,28 @@ from .topk import top_k
 _HITS = "qid long, dist double, vec_id long"
 
 
+#: Queries that are scored at a time: their distances to a block are some 16 MB.
+_SLICE = 256
+
+
 def _local_top(queries: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
     if not len(queries) or not len(held):
         return pd.DataFrame({"qid": np.empty(0, np.int64), "dist": np.empty(0), "vec_id": np.empty(0, np.int64)})
     ids = held["vec_id"].to_numpy(np.int64)
     order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], np.stack(held["embedding"].to_numpy()).astype(np.float64)[order]
-    asked = np.stack(queries["qv"].to_numpy()).astype(np.float64)
-    dist = np.round(1 - asked @ rows.T, 12)  # equal vectors tie, whatever their place in the product
-    best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({"qid": np.repeat(queries["qid"].to_numpy(np.int64), best.shape[1]), "dist": np.take_along_axis(dist, best, axis=1).ravel(), "vec_id": ids[best].ravel()})
+    ids, rows = ids[order], np.stack(held["embedding"].to_numpy())[order].astype(np.float64)
+    qids, found = queries["qid"].to_numpy(np.int64), []
+    for at in range(0, len(queries), _SLICE):
+        asked = np.stack(queries["qv"].iloc[at : at + _SLICE].to_numpy()).astype(np.float64)
+        dist = np.round(1 - asked @ rows.T, 12)  # equal vectors tie, whatever their place in the product
+        reach = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if k < len(ids) else np.inf
+        query, place = np.nonzero(dist <= reach)  # the k nearest and all that tie with the last of them
+        near = dist[query, place]
+        best = np.lexsort((place, near, query))
+        first = np.searchsorted(query, query[best])  # where a query's hits begin
+        best = best[np.arange(len(best)) - first < k]
+        found.append(pd.DataFrame({"qid": qids[at + query[best]], "dist": near[best], "vec_id": ids[place[best]]}))
+    return pd.concat(found)
 
 
 def local_hits(base: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -40,14 +52,6 @@ def exact(base: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> Dat
     return top_k(local_hits(held, asked, ["block", "query_block"], k), k).select("qid", "rank", "dist", "vec_id")
 
 
-def exact_by_expression(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same by column expressions alone; simple, and far slower."""
-    from ..functions.distance import ip_distance
-
-    pairs = base.crossJoin(queries).withColumn("dist", F.round(ip_distance(F.col("qv"), F.col("embedding")), 12))
-    return top_k(pairs.select("qid", "dist", "vec_id"), k).select("qid", "rank", "dist", "vec_id")
-
-
 def candidates(lists: DataFrame, probes: DataFrame) -> DataFrame:
     """(qid, vec_id, list_id) of every vector in a probed list: an equi-join, so partitions of a stored index are pruned."""
     return lists.select("list_id", "vec_id").join(probes.select("qid", "list_id"), "list_id").select("qid", "vec_id", "list_id")
@@ -56,11 +60,13 @@ def candidates(lists: DataFrame, probes: DataFrame) -> DataFrame:
 def ivf(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...] = (), block: int = 8192) -> DataFrame:
     """qid, (by,) rank, dist, vec_id of the k nearest among the probed lists, per group of ``by`` such as the shard.
 
-    ``lists`` has list_id, pos, vec_id, embedding; ``probes`` has qid, qv, list_id. A long list is cut
-    into blocks by position, and its probes go to each of them.
+    ``lists`` has list_id, vec_id, embedding; ``probes`` has qid, qv, list_id. A long list is dealt into
+    blocks by a hash of the id, and its probes go to each of them.
     """
-    cut = lists.withColumn("block", F.floor((F.col("pos") - 1) / F.lit(block)).cast("int"))
-    there = cut.groupBy(*by, "list_id").agg((F.max("block") + 1).alias("blocks"))
+    of_list = [*by, "list_id"]
+    there = lists.groupBy(*of_list).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # one row per list (and shard), as many as the index has centroids
+    cut = lists.join(F.broadcast(there), of_list).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = probes.join(there, "list_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = [*by, "list_id", "block"]
     if not by:

@@ -114,6 +114,13 @@ ORACLE_SQL["recall_at_k"] = f"{_IVF}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ra
 _SWEEP_PAIRS = "SELECT y.nprobe, pr.qid, round(1 - list_inner_product(q.v, b.v), 12) AS dist, b.id AS vec_id FROM pr JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS nprobe) y ON pr.pr <= y.nprobe JOIN q USING (qid) JOIN l ON l.cid = pr.cid JOIN b ON b.id = l.id"
 ORACLE_SQL["recall_sweep"] = f"{_KM}, {_probes(16)}, f AS ({_ranked(_SWEEP_PAIRS, K, 'nprobe, ')}), g AS ({_ranked(_ALL, K)}), h AS (SELECT f.nprobe, count(*) AS n FROM f JOIN g USING (qid, vec_id) GROUP BY f.nprobe) SELECT CAST(nprobe AS INTEGER) AS nprobe, round(n / (SELECT count(*) FROM q)::DOUBLE / {K}, 6) + 0.0 AS recall FROM h"
 
+ORACLE_SQL["metrics_run_settled"] = f"""{_IVF}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ranked(_ALL, K)}), h AS (SELECT count(*) AS n FROM f JOIN g USING (qid, vec_id)),
+cc AS (SELECT pr.qid, count(l.id) AS c FROM pr LEFT JOIN l USING (cid) GROUP BY pr.qid),
+w AS (SELECT t.r, count(d.shard) AS work FROM range({SHARDS}) t(r) LEFT JOIN (SELECT {_BLOCK} AS shard FROM b) d ON d.shard = t.r GROUP BY t.r)
+SELECT 'IVF' AS algorithm, 'block-id' AS partition, {SHARDS} AS np, {NLIST} AS nlist, {NPROBE} AS nprobe, {K} AS k,
+  round((SELECT n FROM h) / (SELECT count(*) FROM q)::DOUBLE / {K}, 6) + 0.0 AS recall, (SELECT count(*) FROM q) AS test_queries, (SELECT round(avg(c), 6) + 0.0 FROM cc) AS candidate_count_avg,
+  min(work) AS work_min, avg(work) AS work_avg, max(work) AS work_max, round(max(work) / avg(work), 6) AS imbalance_ratio FROM w"""
+
 # ---- run records
 
 _RUNS = """WITH runs AS (

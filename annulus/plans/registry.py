@@ -6,8 +6,8 @@ Searches ask for every vector whose id is divisible by 100, against the whole ta
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from ..config import SearchConfig
 from ..functions.distance import inner_product, ip_distance, rounded
 from ..operators import evaluate, hnsw, kmeans, metrics, partition, search, topk
 from ..sources import fbin, index_store, run_records
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, shared_root
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 CONFIG = SearchConfig()
@@ -44,15 +44,17 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
-@lru_cache(maxsize=8)
-def _trained(application: str, sf_dir: str, nlist: int, iterations: int) -> tuple[np.ndarray, ...]:
-    spark = SparkSession.getActiveSession()
-    return tuple(kmeans.train(base(spark, sf_dir), nlist, iterations, CONFIG.train))
+_TRAINED: dict[tuple, tuple[np.ndarray, ...]] = {}
 
 
 def trained(spark: SparkSession, sf_dir: str, nlist: int = CONFIG.nlist, iterations: int = CONFIG.iterations) -> tuple[np.ndarray, ...]:
-    """Centroids before and after each iteration, trained once for a table: as many rows as lists."""
-    return _trained(spark.sparkContext.applicationId, sf_dir, nlist, iterations)
+    """Centroids before and after each iteration: as many rows as lists. Trained once for the same vectors, not the same path."""
+    b = base(spark, sf_dir)
+    seen = b.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("vec_id", "embedding")).alias("x"), F.sum(F.xxhash64("embedding", "vec_id").cast("decimal(38,0)")).alias("s")).first()
+    key = (*seen, nlist, iterations)
+    if key not in _TRAINED:
+        _TRAINED[key] = tuple(kmeans.train(b, nlist, iterations, CONFIG.train))
+    return _TRAINED[key]
 
 
 def assigned(spark: SparkSession, sf_dir: str, nlist: int = CONFIG.nlist) -> DataFrame:
@@ -85,26 +87,12 @@ def vec_shape_check(spark, sf_dir):
 
 @query
 def fbin_roundtrip(spark, sf_dir):
-    """Vectors as rows of a binary matrix, one file per part of the table, read back by the binary reader."""
+    """Vectors as binary matrices, a file for each range of ids, read back by the binary reader. Ids are dense, as places are."""
     path = scratch_path(spark, "fbin")
     rows = base(spark, sf_dir)
-
-    def pack(batches):
-        import pandas as pd
-
-        for batch in batches:
-            if len(batch):
-                m = np.stack(batch["embedding"].to_numpy()).astype("<f4")
-                yield pd.DataFrame({"first": [int(batch["vec_id"].iloc[0])], "ids": [batch["vec_id"].to_numpy(np.int64)], "content": [np.array(m.shape, "<u4").tobytes() + m.tobytes()]})
-
-    blobs = rows.mapInPandas(pack, "first long, ids array<long>, content binary")
-    blobs.write.parquet(path)
-    back = spark.read.parquet(path)
-    found = fbin.parsed(back.select(F.col("first").cast("string").alias("path"), "content"))
-    ids = back.select(F.col("first").cast("string").alias("path"), F.posexplode("ids").alias("at", "vec_id"))
-    joined = found.join(ids.withColumn("at", F.col("at").cast("long")), ["path", "at"])
+    fbin.write(rows.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id"), path)
     v = F.col("embedding").cast("array<double>")
-    return joined.select("vec_id", F.size("embedding").alias("dim"), rounded(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    return fbin.read(spark, path).select("vec_id", F.size("embedding").alias("dim"), rounded(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
 def _pairs(spark, sf_dir):
@@ -217,19 +205,19 @@ def ivf_offsets(spark, sf_dir):
 
 @query
 def ivf_build(spark, sf_dir):
-    return kmeans.inverted_lists(_sharded(spark, sf_dir), ("shard",)).select("shard", "list_id", "pos", "vec_id")
+    return kmeans.inverted_lists(_sharded(spark, sf_dir).drop("embedding"), ("shard",)).select("shard", "list_id", "pos", "vec_id")
 
 
 @query
 def ivf_build_list(spark, sf_dir):
     """Lists dealt whole to shards; every vector is assigned once."""
-    lists = kmeans.inverted_lists(assigned(spark, sf_dir))
+    lists = kmeans.inverted_lists(assigned(spark, sf_dir).drop("embedding"))
     return lists.select(partition.contiguous_list(F.col("list_id"), CONFIG.nlist, CONFIG.shards).alias("shard"), "list_id", "pos", "vec_id")
 
 
 @query
 def ivf_csr_invariants(spark, sf_dir):
-    a = assigned(spark, sf_dir)
+    a = assigned(spark, sf_dir).drop("embedding")
     return index_store.csr_invariants(kmeans.inverted_lists(a), kmeans.list_sizes(a, CONFIG.nlist))
 
 
@@ -245,7 +233,7 @@ def idx_centroids_roundtrip(spark, sf_dir):
 def idx_ivf_roundtrip(spark, sf_dir):
     digest = CONFIG.digest(table=sf_dir)
     path = index_store.index_path(scratch_path(spark, "ivf"), "lists", digest, nlist=CONFIG.nlist, shards=CONFIG.shards)
-    index_store.save(kmeans.inverted_lists(assigned(spark, sf_dir)), path, digest, "list_id")
+    index_store.save(kmeans.inverted_lists(assigned(spark, sf_dir)), path, digest, "list_id", "pos")
     return index_store.load(spark, path, digest).select("list_id", "pos", "vec_id")
 
 
@@ -314,11 +302,11 @@ def ivf_candidate_count(spark, sf_dir):
 
 @query
 def ivf_search(spark, sf_dir):
-    return out(search.ivf(kmeans.inverted_lists(assigned(spark, sf_dir)), probed(spark, sf_dir), CONFIG.k))
+    return out(search.ivf(assigned(spark, sf_dir), probed(spark, sf_dir), CONFIG.k))
 
 
 def _local(spark, sf_dir):
-    return search.ivf(kmeans.inverted_lists(_sharded(spark, sf_dir), ("shard",)), probed(spark, sf_dir), CONFIG.k, ("shard",))
+    return search.ivf(_sharded(spark, sf_dir), probed(spark, sf_dir), CONFIG.k, ("shard",))
 
 
 @query
@@ -336,13 +324,13 @@ def ivf_search_sharded(spark, sf_dir):
     """Lists dealt to shards by the greedy rule, searched there, merged."""
     a = assigned(spark, sf_dir)
     owners = partition.greedy_list(kmeans.list_sizes(a, CONFIG.nlist), CONFIG.shards).select("list_id", "shard")
-    lists = kmeans.inverted_lists(a).join(F.broadcast(owners), "list_id")  # one row per list
+    lists = a.join(F.broadcast(owners), "list_id")  # one row per list
     return out(topk.merge(search.ivf(lists, probed(spark, sf_dir), CONFIG.k, ("shard",)), CONFIG.k).select("qid", "rank", "dist", "vec_id"))
 
 
 @query
 def recall_at_k(spark, sf_dir):
-    found = search.ivf(kmeans.inverted_lists(assigned(spark, sf_dir)), probed(spark, sf_dir), CONFIG.k)
+    found = search.ivf(assigned(spark, sf_dir), probed(spark, sf_dir), CONFIG.k)
     truth = search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k)
     return evaluate.recall(found, truth, CONFIG.k)
 
@@ -352,7 +340,7 @@ def recall_sweep(spark, sf_dir):
     """Recall at several numbers of probes, in one job: a probe serves every setting that reaches its rank."""
     grid = spark.createDataFrame([(n,) for n in SWEEP], "nprobe int")
     most = probed(spark, sf_dir, max(SWEEP)).join(F.broadcast(grid), F.col("probe_rank") <= F.col("nprobe"))
-    lists = kmeans.inverted_lists(assigned(spark, sf_dir))
+    lists = assigned(spark, sf_dir)
     # a query under a setting is a query of its own
     n = F.lit(len(SWEEP))
     at = F.array_position(F.array(*map(F.lit, SWEEP)), F.col("nprobe")) - 1
@@ -368,8 +356,9 @@ def recall_sweep(spark, sf_dir):
 def _graphs(spark, sf_dir, shards):
     b = base(spark, sf_dir)
     n = b.count()
-    sharded = partition.owned(b, "random-hash", n, hnsw.shards_for(n, shards))
-    return hnsw.build(sharded, CONFIG.m, CONFIG.ef_construction)
+    count = hnsw.shards_for(n, shards, 500)
+    shared_root(spark)
+    return hnsw.build(partition.owned(b, "random-hash", n, count), CONFIG.m, CONFIG.ef_construction, count).checkpoint()  # built once, and read twice
 
 
 @query
@@ -392,6 +381,10 @@ def hnsw_roundtrip(spark, sf_dir):
 # ---- run records: line items stand in for runs
 
 
+# The columns of a record, in order.
+IVF_RECORD = ["run_id", "group", "algorithm", "np", "threads", "nodes", "ppn", "total_cores", "nlist", "nprobe", "k", "test_queries", "partition", "cache_hit", "recall", "latency_us", "bcast_us", "search_avg_us", "search_max_us", "gather_us", "merge_us", "candidate_count_avg", "work_min", "work_avg", "work_max", "imbalance_ratio", "batch_time_ms", "qps"]
+GRAPH_RECORD = ["run_id", "group", "algorithm", "np", "threads", "nodes", "ppn", "total_cores", "M", "efConstruction", "efSearch", "k", "test_queries", "partition", "cache_hit", "recall", "latency_us", "bcast_us", "search_avg_us", "search_max_us", "gather_us", "merge_us", "candidate_count_avg", "work_min", "work_avg", "work_max", "imbalance_ratio", "build_avg_ms", "build_max_ms", "batch_time_ms", "qps"]
+
 KEYS, STAGES = ["group", "partition", "np"], ["latency_us", "gather_us", "search_max_us"]
 
 
@@ -410,10 +403,10 @@ def _means(spark, sf_dir, keys=KEYS):
 
 @query
 def metrics_read(spark, sf_dir):
-    """Records written as CSV and read again with their types."""
+    """Records written as CSV and read again by the tolerant reader."""
     path, some = scratch_path(spark, "records"), runs(spark, sf_dir)
     run_records.append(some, path)
-    back = spark.read.schema(some.schema).option("header", True).csv(path)
+    back = run_records.read(spark, path)
     return back.groupBy("group", "np").agg(F.count(F.lit(1)).alias("runs"), rounded(F.sum("latency_us"), 2).alias("latency_us"))
 
 
@@ -493,18 +486,75 @@ def metrics_stage_avg(spark, sf_dir):
     return per.groupBy("group").agg(*(rounded(F.avg(c), 4).alias(f"{c}_us") for c in ("search_avg", "search_max", "gather")))
 
 
-@query
-def metrics_run_record(spark, sf_dir):
-    """The record of one list-pruned search, appended to a log of records and read back from it."""
-    b, q = base(spark, sf_dir), asked(spark, sf_dir)
-    lists, began = kmeans.inverted_lists(assigned(spark, sf_dir)), time.time()
-    found = search.ivf(lists, probed(spark, sf_dir), CONFIG.k)
-    n, asked_n = found.count(), q.count()
-    took = (time.time() - began) * 1000
-    recall = evaluate.recall(found, search.exact(b, q, CONFIG.k), CONFIG.k).agg(F.avg("recall").alias("recall"))
-    work = partition.work_balance(_owned(spark, sf_dir, CONFIG.partition), CONFIG.shards)
-    settings = {"algorithm": "IVF", "partition": CONFIG.partition, "np": CONFIG.shards, "nlist": CONFIG.nlist, "nprobe": CONFIG.nprobe, "k": CONFIG.k, "test_queries": asked_n, "hits": n, "batch_time_ms": took, "latency_us": took * 1000 / max(1, asked_n), "qps": asked_n * 1000 / took if took else 0.0}
-    record = recall.crossJoin(work).select(*(F.lit(v).alias(k) for k, v in settings.items()), "recall", "work_min", "work_avg", "work_max", "imbalance_ratio")
+def _kept(df: DataFrame) -> tuple[DataFrame, float]:
+    """``df``, written, and how long that took, in microseconds."""
+    began = time.time()
+    return df.checkpoint(), (time.time() - began) * 1e6
+
+
+def _settled(found: DataFrame, truth: DataFrame, work: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row of what doesn't depend on the clock: recall, candidates and the balance of work."""
+    recall = evaluate.recall(found, truth, CONFIG.k).agg(rounded(F.avg("recall")).alias("recall"), F.count(F.lit(1)).alias("test_queries"))
+    return recall.crossJoin(counts.agg(rounded(F.avg("candidates")).alias("candidate_count_avg"))).crossJoin(work)  # one row each
+
+
+def _work(spark, sf_dir, strategy):
+    return partition.work_balance(_owned(spark, sf_dir, strategy), CONFIG.shards)
+
+
+def _logged(spark, record: DataFrame) -> DataFrame:
+    """``record`` appended to a log of records and read back from it."""
     path = scratch_path(spark, "log")
     run_records.append(record, path)
-    return spark.read.schema(record.schema).option("header", True).csv(path)
+    return run_records.read(spark, path).drop("seq")
+
+
+def _timed(spark, asked_n: int, times: dict[str, float]) -> dict:
+    batch = sum(times.values())
+    each = {k: v / max(1, asked_n) for k, v in times.items()}
+    return {"latency_us": batch / max(1, asked_n), **each, "batch_time_ms": batch / 1000, "qps": asked_n * 1e6 / batch if batch else 0.0}
+
+
+def _place(spark, algorithm: str) -> dict:
+    cores = spark.sparkContext.defaultParallelism
+    return {"run_id": uuid.uuid4().hex, "group": CONFIG.group, "algorithm": algorithm, "np": CONFIG.shards, "threads": max(1, cores // CONFIG.shards), "nodes": 1, "ppn": CONFIG.shards, "total_cores": cores}
+
+
+@query
+def metrics_run_settled(spark, sf_dir):
+    """The record of one list-pruned search without what the clock decides."""
+    found = search.ivf(assigned(spark, sf_dir), probed(spark, sf_dir), CONFIG.k)
+    row = _settled(found, search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k), _work(spark, sf_dir, CONFIG.partition), ivf_candidate_count(spark, sf_dir))
+    settings = {"algorithm": "IVF", "partition": CONFIG.partition, "np": CONFIG.shards, "nlist": CONFIG.nlist, "nprobe": CONFIG.nprobe, "k": CONFIG.k}
+    return row.select(*(F.lit(v).alias(k) for k, v in settings.items()), *row.columns)
+
+
+@query
+def metrics_run_record(spark, sf_dir):
+    """The whole record, 28 columns, of one list-pruned search: stages are jobs, and each is timed."""
+    shared_root(spark)
+    probes, bcast = _kept(probed(spark, sf_dir))
+    local, searched = _kept(search.ivf(_sharded(spark, sf_dir), probes, CONFIG.k, ("shard",)))
+    gathered, gather = _kept(local.repartition("qid"))
+    found, merge = _kept(topk.merge(gathered, CONFIG.k))
+    row = _settled(found, search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k), _work(spark, sf_dir, CONFIG.partition), ivf_candidate_count(spark, sf_dir)).first().asDict()
+    row |= _place(spark, "IVF") | {"partition": CONFIG.partition, "nlist": CONFIG.nlist, "nprobe": CONFIG.nprobe, "k": CONFIG.k, "cache_hit": 0}
+    row |= _timed(spark, row["test_queries"], {"bcast_us": bcast, "search_max_us": searched, "gather_us": gather, "merge_us": merge})
+    row["search_avg_us"] = row["search_max_us"]  # one job searches all shards
+    return _logged(spark, spark.createDataFrame([tuple(row[c] for c in IVF_RECORD)], IVF_RECORD))
+
+
+@query
+def metrics_graph_record(spark, sf_dir):
+    """The record, 31 columns, of one search of the sharded graphs."""
+    shared_root(spark)
+    began = time.time()
+    graphs = _graphs(spark, sf_dir, CONFIG.shards)
+    built = (time.time() - began) * 1000
+    found, searched = _kept(hnsw.search(graphs, asked(spark, sf_dir), CONFIG.k, CONFIG.ef_search))
+    counts = graphs.agg(F.sum(F.least("size", F.lit(CONFIG.ef_search))).alias("candidates"))
+    row = _settled(found, search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k), _work(spark, sf_dir, "random-hash"), counts).first().asDict()
+    row |= _place(spark, "HNSW") | {"partition": "random-hash", "M": CONFIG.m, "efConstruction": CONFIG.ef_construction, "efSearch": CONFIG.ef_search, "k": CONFIG.k, "cache_hit": 0, "build_avg_ms": built, "build_max_ms": built}
+    row |= _timed(spark, row["test_queries"], {"bcast_us": 0.0, "search_max_us": searched, "gather_us": 0.0, "merge_us": 0.0})  # one job does all
+    row["search_avg_us"] = row["search_max_us"]
+    return _logged(spark, spark.createDataFrame([tuple(row[c] for c in GRAPH_RECORD)], GRAPH_RECORD))

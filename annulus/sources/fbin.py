@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Larger files are read by byte ranges of about this size; a cell of a DataFrame ends at 2 GB.
+RANGE_BYTES = 256 << 20
 _TYPES = {"float": ("<f4", "float"), "int": ("<i4", "int")}
 
 
@@ -34,7 +37,86 @@ def parsed(files: DataFrame, kind: str = "float", column: str = "embedding") ->
     return files.select("path", "content").mapInPandas(parse, f"path string, at long, {column} array<{name}>")
 
 
-def read(spark: SparkSession, path: str, kind: str = "float", id_name: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """One row per vector, numbered in file order. Works on every store that Spark reads; several files number their rows each from 0."""
-    rows = parsed(spark.read.format("binaryFile").load(path), kind, column)
-    return rows.select(F.col("at").alias(id_name), column)
+def _opened(path: str):
+    """An open file of any store that pyarrow knows: local, HDFS, S3, GCS."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return store.open_input_file(at)
+
+
+def _headers(files: DataFrame, most: int) -> DataFrame:
+    """path, length, rows, dims of every file; ValueError for a length that its header doesn't ask for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, length, head in zip(batch["path"], batch["length"].tolist(), batch["head"], strict=True):
+                if head is None:
+                    with _opened(path) as f:
+                        head = f.read(8)
+                if len(head) < 8:
+                    raise ValueError(f"{path}: short header")
+                n, d = np.frombuffer(head, "<u4", 2).tolist()
+                if length != 8 + 4 * n * d:
+                    raise ValueError(f"{path}: {n} x {d} items need {8 + 4 * n * d} bytes, it has {length}")
+                yield pd.DataFrame({"path": [path], "length": [length], "rows": [n], "dims": [d]})
+
+    small = files.where(F.col("length") <= most).select("path", "length", F.substring("content", 1, 8).alias("head"))
+    large = files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("head"))
+    return small.unionByName(large).mapInPandas(run, "path string, length long, rows long, dims long")
+
+
+def _ranges(files: DataFrame, kind: str, column: str, most: int) -> DataFrame:
+    """path, at and the vector, read by ranges of ``files`` (path, rows, dims), a task for each."""
+    code, name = _TYPES[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, n, d, first in zip(batch["path"], batch["rows"].tolist(), batch["dims"].tolist(), batch["first"].tolist(), strict=True):
+                with _opened(path) as f:
+                    until = min(n, first + max(1, most // (4 * d)))
+                    for at in range(first, until, 4096):
+                        count = min(until, at + 4096) - at
+                        f.seek(8 + 4 * at * d)
+                        rows = np.frombuffer(f.read(4 * count * d), code).reshape(count, d)
+                        yield pd.DataFrame({"path": path, "at": np.arange(at, at + count), column: list(rows)})
+
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(most) / (4 * F.col("dims"))))
+    parts = files.where("rows > 0 AND dims > 0").select("path", "rows", "dims", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, step)).alias("first"))
+    return parts.repartition("path", "first").mapInPandas(run, f"path string, at long, {column} array<{name}>")
+
+
+def read(spark: SparkSession, path: str, kind: str = "float", id_name: str = "vec_id", column: str = "embedding", most: int = RANGE_BYTES) -> DataFrame:
+    """One row per vector, numbered over all files in the order of their paths.
+
+    Files of up to ``most`` bytes come from any store that Spark reads; larger ones are read by ranges
+    of that size, from the stores that pyarrow knows.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    heads = _headers(files, most).cache()  # one row per file
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = heads.select("path", before.alias("start"))
+    rows = parsed(files.where(F.col("length") <= most), kind, column).unionByName(_ranges(heads.where(F.col("length") > most), kind, column, most))
+    return rows.join(starts, "path").select((F.col("start") + F.col("at")).alias(id_name), column)
+
+
+def write(vectors: DataFrame, path: str, column: str = "embedding", kind: str = "float") -> int:
+    """Each partition as one file below ``path``, in the order of its rows; the number of rows. A task that runs again replaces its file."""
+    code = _TYPES[kind][0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        rows = [np.stack(b[column].to_numpy()).astype(code) for b in batches if len(b)]
+        if rows:
+            held = np.concatenate(rows)
+            store, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+            store.create_dir(at)
+            task = TaskContext.get()
+            name, draft = f"{at}/part-{task.partitionId():06d}.bin", f"{at}/.draft-{task.taskAttemptId()}"
+            with store.open_output_stream(draft) as f:
+                f.write(np.array(held.shape, "<u4").tobytes() + held.tobytes())
+            store.move(draft, name)
+            yield pd.DataFrame({"n": [len(held)]})
+
+    return vectors.select(column).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -14,19 +14,21 @@ def index_path(root: str, kind: str, digest: str, **settings) -> str:
     return f"{root.rstrip('/')}/{cache_token(kind)}_{told}_{cache_token(digest)}"
 
 
-def save(index: DataFrame, path: str, digest: str, partition: str | None = None) -> None:
-    marked = index.withColumn("index_digest", F.lit(digest))
-    writer = marked.repartition(partition).write if partition else marked.write
-    (writer.partitionBy(partition) if partition else writer).mode("overwrite").parquet(path)
+def save(index: DataFrame, path: str, digest: str, partition: str | None = None, within: str | None = None) -> None:
+    """Written by ``partition``; a large one is dealt to several tasks and files, by ranges of ``within``."""
+    if partition:
+        index = index.repartitionByRange(*(c for c in (partition, within) if c))
+    writer = index.write.partitionBy(partition) if partition else index.write
+    writer.mode("overwrite").parquet(f"{path}/data")
+    # last, and once: an index without it is unfinished
+    index.sparkSession.createDataFrame([(digest,)], "index_digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/digest")
 
 
 def load(spark: SparkSession, path: str, digest: str) -> DataFrame:
     """The stored index; ValueError if it was made from other data or settings."""
-    stored = spark.read.parquet(path)
-    others = stored.where(F.col("index_digest") != digest).limit(1).count()
-    if others:
+    if [r.index_digest for r in spark.read.parquet(f"{path}/digest").collect()] != [digest]:
         raise ValueError(f"{path} holds another index than {digest}")
-    return stored.drop("index_digest")
+    return spark.read.parquet(f"{path}/data")
 
 
 def csr_invariants(lists: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values.
 #: Columns that are whole numbers and measures; all others are text.
 COUNTS = ("np", "threads", "nodes", "ppn", "total_cores", "nlist", "nprobe", "k", "test_queries", "cache_hit", "work_min", "work_max", "M", "efConstruction", "efSearch")
 MEASURES = ("recall", "latency_us", "bcast_us", "search_avg_us", "search_max_us", "gather_us", "merge_us", "candidate_count_avg", "work_avg", "imbalance_ratio", "build_avg_ms", "build_max_ms", "batch_time_ms", "qps")
@@ -13,17 +14,22 @@ MEASURES = ("recall", "latency_us", "bcast_us", "search_avg_us", "search_max_us"
 def read(spark: SparkSession, path: str, first: str = "run_id") -> DataFrame:
     """Records below a header that begins with ``first``; titles and blank lines above and between are skipped.
 
+    Each file has its own header; columns that a file lacks are null, files without one are skipped.
     Values that aren't numbers become null in number columns. seq is the line's number in its file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
-    header = lines.where(F.col("line").startswith(first + ",")).orderBy("seq").first()
-    if header is None:
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
+    heads = lines.where(F.col("line").startswith(first + ",")).groupBy("file").agg(F.min_by("line", "seq").alias("header"), F.min("seq").alias("at"))
+    headers = sorted(r.header for r in heads.select("header").distinct().collect())  # as many as there are kinds of record
+    if not headers:
         raise ValueError(f"{path}: no line begins with {first},")
-    names = header.line.split(",")
-    parts = F.split("line", ",")
-    rows = lines.where((F.col("seq") > header.seq) & (F.trim("line") != "") & ~F.col("line").startswith(first + ","))
-    kinds = dict.fromkeys(COUNTS, "bigint") | dict.fromkeys(MEASURES, "double")
-    return rows.select("seq", *(F.get(parts, i).try_cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(names)))
+    rows = lines.join(heads, "file").where((F.col("seq") > F.col("at")) & (F.trim("line") != "") & ~F.col("line").startswith(first + ","))
+    kinds, found = dict.fromkeys(COUNTS, "bigint") | dict.fromkeys(MEASURES, "double"), None
+    for header in headers:
+        names = header.split(",")
+        parsed = F.from_csv("line", ", ".join(f"`{n}` string" for n in names)).alias("r")
+        some = rows.where(F.col("header") == header).select("seq", parsed).select("seq", *(F.col(f"r.`{n}`").try_cast(kinds.get(n, "string")).alias(n) for n in names))
+        found = some if found is None else found.unionByName(some, allowMissingColumns=True)
+    return found
 
 
 def append(record: DataFrame, path: str) -> None:

@@ -36,6 +36,11 @@ def test_records_with_a_title_and_blank_lines(spark, tmp_path):
     path.write_text("results\n\nrun_id,np,recall,partition\n\na1,4,0.5,block\n\na2,x,0.75,cyclic\n")
     got = run_records.read(spark, str(path)).orderBy("seq").collect()
     assert [(r.run_id, r.np, r.recall, r.partition) for r in got] == [("a1", 4, 0.5, "block"), ("a2", None, 0.75, "cyclic")]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("run_id,np,recall\na1,4,0.5\n")
+    (tmp_path / "two" / "b.csv").write_text('run_id,recall,np,partition\n"b,1",0.25,8,cyclic\n')
+    both = run_records.read(spark, str(tmp_path / "two")).orderBy("run_id").collect()  # each by its own header
+    assert [(r.run_id, r.np, r.recall, r.partition) for r in both] == [("a1", 4, 0.5, None), ("b,1", 8, 0.25, "cyclic")]
     run_records.append(run_records.read(spark, str(path)), str(tmp_path / "log"))
     run_records.append(run_records.read(spark, str(path)), str(tmp_path / "log"))
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 4

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +71,18 @@ def test_splitmix_shares(spark):
 def test_exact(spark, cloud, block):
     b, q = vectors(spark, cloud), asked(spark, cloud[:7])
     assert tuples(search.exact(b, q, 10, block)) == brute(cloud, cloud[:7], 10)
-    assert tuples(search.exact_by_expression(b, q, 10)) == brute(cloud, cloud[:7], 10)
+
+
+def test_exact_in_slices_with_ties():
+    r = np.random.default_rng(2)
+    rows = np.repeat(r.normal(size=(60, 4)), 5, axis=0)
+    held, asked_ = pd.DataFrame({"vec_id": r.permutation(300), "embedding": list(rows)}), pd.DataFrame({"qid": np.arange(600), "qv": list(r.normal(size=(600, 4)))})
+    for k in (1, 7, 300, 400):
+        got = search._local_top(asked_, held, k)
+        order = held.sort_values("vec_id")
+        dist = np.round(1 - np.stack(asked_["qv"]) @ np.stack(order["embedding"]).T, 12)
+        want = [(q, i) for q in range(600) for i in order["vec_id"].to_numpy()[np.argsort(dist[q], kind="stable")[:k]]]
+        assert list(zip(got["qid"].tolist(), got["vec_id"].tolist())) == want
 
 
 def test_ties_go_to_the_lower_id(spark):

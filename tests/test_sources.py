@@ -13,6 +13,13 @@ def test_fbin(spark, tmp_path):
     assert [(r.vec_id, r.embedding) for r in got] == [(0, [0, 1, 2]), (1, [3, 4, 5])]
     (tmp_path / "t.bin").write_bytes(np.array([1, 2], "<u4").tobytes() + np.array([7, 8], "<i4").tobytes())
     assert fbin.read(spark, str(tmp_path / "t.bin"), "int", "qid", "gt").first().gt == [7, 8]
+    (tmp_path / "many").mkdir()
+    big = np.arange(300, dtype="<f4").reshape(100, 3)
+    for name, part in (("a.fbin", big[:30]), ("b.fbin", big[30:95]), ("c.fbin", big[95:])):
+        (tmp_path / "many" / name).write_bytes(np.array(part.shape, "<u4").tobytes() + part.tobytes())
+    for most in (50, 400, 1 << 20):  # by ranges, some by ranges, whole
+        got = fbin.read(spark, str(tmp_path / "many"), most=most).orderBy("vec_id").collect()
+        assert [(r.vec_id, r.embedding) for r in got] == [(i, x.tolist()) for i, x in enumerate(big)]
     (tmp_path / "bad.fbin").write_bytes(np.array([2, 3], "<u4").tobytes() + b"\0" * 20)
     with pytest.raises(Exception, match="need"):
         fbin.read(spark, str(tmp_path / "bad.fbin")).collect()
