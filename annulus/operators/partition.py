@@ -50,6 +50,31 @@ def owned(df: DataFrame, strategy: str, n: int, shards: int) -> DataFrame:
     return df.withColumn("shard", rule(F.col("vec_id")))
 
 
+def dealt(assigned: DataFrame, sizes: DataFrame, strategy: str, n: int, nlist: int, shards: int) -> DataFrame:
+    """``assigned`` (vec_id, list_id) with its shard by any strategy; ``sizes`` has one row per list."""
+    if strategy == "contiguous-list":
+        return assigned.withColumn("shard", contiguous_list(F.col("list_id"), nlist, shards))
+    if strategy == "greedy-list":
+        return assigned.join(F.broadcast(greedy_list(sizes, shards).select("list_id", "shard")), "list_id")  # one row per list
+    return owned(assigned, strategy, n, shards)
+
+
+def swept(vectors: DataFrame, sizes: DataFrame, n: int, nlist: int, counts: tuple[int, ...]) -> DataFrame:
+    """strategy, np and the balance of work of every strategy at every number of shards, from one scan of ``vectors`` (vec_id)."""
+    rules = {"block-id": lambda c: block_id(F.col("vec_id"), n, c), "cyclic": lambda c: cyclic(F.col("vec_id"), c), "random-hash": lambda c: random_hash(F.col("vec_id"), c)}
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.lit(c).alias("np"), rule(c).alias("shard")) for s, rule in rules.items() for c in counts)))
+    work = vectors.select(each.alias("x")).select("x.*", F.lit(1).cast("long").alias("work"))
+    for c in counts:
+        held = F.col("list_size").alias("work")
+        whole = sizes.select(F.lit("contiguous-list").alias("strategy"), F.lit(c).alias("np"), contiguous_list(F.col("list_id"), nlist, c).alias("shard"), held)
+        greedy = greedy_list(sizes, c).select(F.lit("greedy-list").alias("strategy"), F.lit(c).alias("np"), "shard", held)
+        work = work.unionByName(whole).unionByName(greedy)
+    work = work.groupBy("strategy", "np", "shard").agg(F.sum("work").alias("work"))
+    least = F.when(F.count(F.lit(1)) < F.col("np"), F.lit(0)).otherwise(F.min("work"))  # a shard without any has no row
+    found = work.groupBy("strategy", "np").agg(least.alias("work_min"), (F.sum("work") / F.col("np")).alias("work_avg"), F.max("work").alias("work_max"))
+    return found.withColumn("imbalance_ratio", F.when(F.col("work_avg") > 0, F.round(F.col("work_max") / F.col("work_avg"), 6)).otherwise(F.lit(0.0)))
+
+
 def work_balance(sharded: DataFrame, shards: int) -> DataFrame:
     """One row: work_min, work_avg, work_max and imbalance_ratio, the largest over the average; empty shards count."""
     every = sharded.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .topk import top_k
@@ -43,15 +43,26 @@ def local_hits(base: DataFrame, queries: DataFrame, keys: list[str], k: int) ->
     return asked.toDF(*asked.columns).groupBy(*keys).cogroup(held).applyInPandas(lambda a, b: _local_top(a, b, k), _HITS)
 
 
+def blocks(base: DataFrame, queries: DataFrame, block: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into blocks, so that each vector meets each query once, at one (block, query_block)."""
+    n, m = base.count(), queries.count()
+    parts, query_blocks = max(1, -(-n // block)), max(1, -(-m // block))
+    held = base.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(parts)), "query_block": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
+    asked = queries.withColumns({"query_block": F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))})
+    return held, asked
+
+
 def exact(base: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
     """qid, rank, dist, vec_id of the k nearest of all ``base``. Both sides meet block by block, whatever their size."""
-    n, m = base.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // block))
-    held = base.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "query_block": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
-    asked = queries.withColumns({"query_block": F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int"), "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+    held, asked = blocks(base, queries, block)
     return top_k(local_hits(held, asked, ["block", "query_block"], k), k).select("qid", "rank", "dist", "vec_id")
 
 
+def first(queries: DataFrame, most: int, place: str | Column = "qid") -> DataFrame:
+    """The queries of the first ``most`` places, from 0: their number is the smaller of both."""
+    return queries.where((F.col(place) if isinstance(place, str) else place) < most)
+
+
 def candidates(lists: DataFrame, probes: DataFrame) -> DataFrame:
     """(qid, vec_id, list_id) of every vector in a probed list: an equi-join, so partitions of a stored index are pruned."""
     return lists.select("list_id", "vec_id").join(probes.select("qid", "list_id"), "list_id").select("qid", "vec_id", "list_id")

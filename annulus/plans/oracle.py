@@ -34,8 +34,8 @@ _SIZES = f"z AS (SELECT CAST(t.c AS INTEGER) AS list_id, count(l.id) AS list_siz
 _BLOCK = f"CAST(((id + 1) * {SHARDS} - 1) // (SELECT n FROM p) AS INTEGER)"
 
 
-def _probes(nprobe: int = NPROBE) -> str:
-    ranked = "SELECT q.qid, c.cid, round(1 - list_inner_product(q.v, c.v), 12) AS dist, CAST(row_number() OVER (PARTITION BY q.qid ORDER BY round(1 - list_inner_product(q.v, c.v), 12), c.cid) AS INTEGER) AS pr FROM q, c2 c"
+def _probes(nprobe: int = NPROBE, c: str = "c2") -> str:
+    ranked = f"SELECT q.qid, c.cid, round(1 - list_inner_product(q.v, c.v), 12) AS dist, CAST(row_number() OVER (PARTITION BY q.qid ORDER BY round(1 - list_inner_product(q.v, c.v), 12), c.cid) AS INTEGER) AS pr FROM q, {c} c"
     return f"pr AS (SELECT * FROM ({ranked}) WHERE pr <= {nprobe})"
 
 
@@ -57,16 +57,19 @@ _IVF = f"{_KM},\n{_probes()}\n"
 _CENTROIDS = "SELECT cid AS list_id, CAST(pos - 1 AS INTEGER) AS pos, round(x, 6) + 0.0 AS x FROM (SELECT cid, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {})"
 _LISTS = "SELECT cid AS list_id, CAST(row_number() OVER (PARTITION BY cid ORDER BY id) AS INTEGER) AS pos, id AS vec_id FROM l"
 _SCAN = "SELECT vec_id, len(embedding)::INTEGER AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings"
-_LABELLED = "FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 100 = 0"
+_PAIRS = "FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0"
 _IP = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
 
 _SPLITMIX = f"""WITH x0 AS (SELECT vec_id, (CAST(vec_id AS UHUGEINT) + 11400714819323198485) % 18446744073709551616 AS z FROM embeddings),
 x1 AS (SELECT vec_id, (xor(z, z // 1073741824) * 13787848793156543929) % 18446744073709551616 AS z FROM x0),
 x2 AS (SELECT vec_id, (xor(z, z // 134217728) * 10723151780598845931) % 18446744073709551616 AS z FROM x1),
 h AS (SELECT vec_id, CAST(xor(z, z // 2147483648) % {SHARDS} AS INTEGER) AS shard FROM x2)"""
-_GREEDY = f"""o AS (SELECT list_id, list_size, row_number() OVER (ORDER BY list_size DESC, list_id) AS i FROM z),
+
+
+def _greedy(shards: int = SHARDS) -> str:
+    return f"""o AS (SELECT list_id, list_size, row_number() OVER (ORDER BY list_size DESC, list_id) AS i FROM z),
 g AS (
-  SELECT 0::BIGINT AS i, list_resize([]::BIGINT[], {SHARDS}, 0) AS loads, 0::BIGINT AS owner
+  SELECT 0::BIGINT AS i, list_resize([]::BIGINT[], {shards}, 0) AS loads, 0::BIGINT AS owner
   UNION ALL
   SELECT o.i, list_transform(g.loads, lambda x, j: CASE WHEN j = list_position(g.loads, list_min(g.loads)) THEN x + o.list_size ELSE x END), list_position(g.loads, list_min(g.loads)) - 1
   FROM g JOIN o ON o.i = g.i + 1)"""
@@ -75,8 +78,8 @@ ORACLE_SQL: dict[str, str] = {
     "vec_scan": _SCAN,
     "fbin_roundtrip": _SCAN,
     "vec_shape_check": "SELECT b.*, q.* FROM (SELECT count(*) AS base_rows, min(len(embedding))::INTEGER AS base_dim_min, max(len(embedding))::INTEGER AS base_dim_max FROM embeddings) b, (SELECT count(*) AS query_rows, min(len(embedding))::INTEGER AS query_dim_min, max(len(embedding))::INTEGER AS query_dim_max FROM embeddings WHERE vec_id % 100 = 0) q",
-    "inner_product_pairs": f"SELECT q.vec_id AS qid, e.vec_id, round({_IP}, 6) + 0.0 AS ip {_LABELLED}",
-    "ip_distance": f"SELECT q.vec_id AS qid, e.vec_id, round(1 - {_IP}, 6) + 0.0 AS dist {_LABELLED}",
+    "inner_product_pairs": f"SELECT q.vec_id AS qid, e.vec_id, round({_IP}, 6) + 0.0 AS ip {_PAIRS}",
+    "ip_distance": f"SELECT q.vec_id AS qid, e.vec_id, round(1 - {_IP}, 6) + 0.0 AS dist {_PAIRS}",
     "knn_exact": f"{_B} {_out(_ranked(_ALL, K))}",
     "ground_truth": f"{_B} {_out(_ranked(_ALL, 100))}",
     "topk_as_array": f"{_B} SELECT qid, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM ({_ranked(_ALL, K)}) GROUP BY qid",
@@ -98,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     "partition_cyclic": f"SELECT vec_id, CAST(vec_id % {SHARDS} AS INTEGER) AS shard FROM embeddings",
     "partition_random_hash": f"{_SPLITMIX} SELECT vec_id, shard FROM h",
     "partition_contiguous_list": f"{_KM}, {_SIZES} SELECT list_id, list_size, CAST(least(list_id * {SHARDS} // {NLIST}, {SHARDS - 1}) AS INTEGER) AS shard FROM z",
-    "partition_greedy_list": f"{_KM.replace('WITH', 'WITH RECURSIVE', 1)}, {_SIZES}, {_GREEDY} SELECT o.list_id, o.list_size, CAST(g.owner AS INTEGER) AS shard FROM g JOIN o USING (i)",
+    "partition_greedy_list": f"{_KM.replace('WITH', 'WITH RECURSIVE', 1)}, {_SIZES}, {_greedy()} SELECT o.list_id, o.list_size, CAST(g.owner AS INTEGER) AS shard FROM g JOIN o USING (i)",
     "partition_work_balance": f"{_SPLITMIX}, {_BASE.strip()}, d AS (SELECT 'block-id' AS strategy, {_BLOCK} AS shard FROM b UNION ALL SELECT 'cyclic', CAST(id % {SHARDS} AS INTEGER) FROM b UNION ALL SELECT 'random-hash', shard FROM h), w AS (SELECT s.strategy, t.r, count(d.shard) AS work FROM (SELECT DISTINCT strategy FROM d) s CROSS JOIN range({SHARDS}) t(r) LEFT JOIN d ON d.strategy = s.strategy AND d.shard = t.r GROUP BY ALL) SELECT strategy, min(work) AS work_min, avg(work) AS work_avg, max(work) AS work_max, round(max(work) / avg(work), 6) AS imbalance_ratio FROM w GROUP BY strategy",
     "probe_select": f"{_IVF} SELECT qid, cid AS list_id, pr AS probe_rank, round(dist, 6) + 0.0 AS dist FROM pr",
     "ivf_candidates": f"{_IVF} SELECT pr.qid, l.id AS vec_id, l.cid AS list_id FROM pr JOIN l USING (cid)",
@@ -114,6 +117,24 @@ ORACLE_SQL["recall_at_k"] = f"{_IVF}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ra
 _SWEEP_PAIRS = "SELECT y.nprobe, pr.qid, round(1 - list_inner_product(q.v, b.v), 12) AS dist, b.id AS vec_id FROM pr JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS nprobe) y ON pr.pr <= y.nprobe JOIN q USING (qid) JOIN l ON l.cid = pr.cid JOIN b ON b.id = l.id"
 ORACLE_SQL["recall_sweep"] = f"{_KM}, {_probes(16)}, f AS ({_ranked(_SWEEP_PAIRS, K, 'nprobe, ')}), g AS ({_ranked(_ALL, K)}), h AS (SELECT f.nprobe, count(*) AS n FROM f JOIN g USING (qid, vec_id) GROUP BY f.nprobe) SELECT CAST(nprobe AS INTEGER) AS nprobe, round(n / (SELECT count(*) FROM q)::DOUBLE / {K}, 6) + 0.0 AS recall FROM h"
 
+_GRID_PAIRS = _SWEEP_PAIRS.replace("[1, 2, 4, 8, 16]", "[2, 4, 8]")
+ORACLE_SQL["recall_sweep_lists"] = " UNION ALL ".join(
+    f"SELECT {nlist} AS nlist, * FROM ({_kmeans(nlist)}, {_probes(8)}, f AS ({_ranked(_GRID_PAIRS, K, 'nprobe, ')}), g AS ({_ranked(_ALL, K)}), h AS (SELECT f.nprobe, count(g.vec_id) AS n FROM f LEFT JOIN g USING (qid, vec_id) GROUP BY f.nprobe) SELECT CAST(nprobe AS INTEGER) AS nprobe, round(n / (SELECT count(*) FROM q)::DOUBLE / {K}, 6) + 0.0 AS recall FROM h)"
+    for nlist in (8, 16, 32)
+)
+ORACLE_SQL["ivf_search_settings"] = f"{_kmeans(24, 3)}, {_probes(6, 'c3')} {_out(_ranked(_IN_LISTS, K))}"
+_BY_NP = "SELECT CAST(t.np AS INTEGER) AS np, {} AS strategy, CAST({} AS INTEGER) AS shard, {} AS work FROM {}, (SELECT unnest([1, 2, 4, 8]) AS np) t"
+_GREEDY_WORK = " UNION ALL ".join(f"SELECT {np}, 'greedy-list', CAST(owner AS INTEGER), list_size FROM (WITH RECURSIVE {_greedy(np)} SELECT g.owner, o.list_size FROM g JOIN o USING (i))" for np in (1, 2, 4, 8))
+_STRATEGIES = [
+    _BY_NP.format("'block-id'", "((id + 1) * t.np - 1) // (SELECT n FROM p)", 1, "b"),
+    _BY_NP.format("'cyclic'", "id % t.np", 1, "b"),
+    _BY_NP.format("'random-hash'", "xor(z, z // 2147483648) % CAST(t.np AS UHUGEINT)", 1, "x2"),
+    _BY_NP.format("'contiguous-list'", f"least(list_id * t.np // {NLIST}, t.np - 1)", "list_size", "z AS zz"),
+    _GREEDY_WORK,
+]
+ORACLE_SQL["partition_sweep"] = f"""{_SPLITMIX}, {_KM.removeprefix("WITH ")}, {_SIZES}, w AS ({" UNION ALL ".join(_STRATEGIES)}), e AS (SELECT strategy, np, shard, sum(work) AS work FROM w GROUP BY ALL)
+SELECT strategy, np, CAST(CASE WHEN count(*) < np THEN 0 ELSE min(work) END AS BIGINT) AS work_min, sum(work)::DOUBLE / np AS work_avg, CAST(max(work) AS BIGINT) AS work_max, round(max(work) / (sum(work)::DOUBLE / np), 6) AS imbalance_ratio FROM e GROUP BY strategy, np"""
+
 ORACLE_SQL["metrics_run_settled"] = f"""{_IVF}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ranked(_ALL, K)}), h AS (SELECT count(*) AS n FROM f JOIN g USING (qid, vec_id)),
 cc AS (SELECT pr.qid, count(l.id) AS c FROM pr LEFT JOIN l USING (cid) GROUP BY pr.qid),
 w AS (SELECT t.r, count(d.shard) AS work FROM range({SHARDS}) t(r) LEFT JOIN (SELECT {_BLOCK} AS shard FROM b) d ON d.shard = t.r GROUP BY t.r)

@@ -22,6 +22,7 @@ from .oracle import ORACLE_SQL as ORACLE_SQL
 
 CONFIG = SearchConfig()
 SWEEP = (1, 2, 4, 8, 16)
+LISTS, PROBES, SHARD_COUNTS = (8, 16, 32), (2, 4, 8), (1, 2, 4, 8)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,10 +97,9 @@ def fbin_roundtrip(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Each query with every vector of its label."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), "label")
-    return e.join(q, "label").select("qid", "vec_id", "qv", "embedding")
+    """Each query with every vector, block by block."""
+    held, q = search.blocks(base(spark, sf_dir), asked(spark, sf_dir), 1024)
+    return held.join(q, ["block", "query_block"]).select("qid", "vec_id", "qv", "embedding")
 
 
 @query
@@ -331,7 +331,9 @@ def ivf_search_sharded(spark, sf_dir):
 @query
 def recall_at_k(spark, sf_dir):
     found = search.ivf(assigned(spark, sf_dir), probed(spark, sf_dir), CONFIG.k)
-    truth = search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k)
+    shared_root(spark)
+    truth = search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k).checkpoint()  # checked, then joined
+    evaluate.validate(base(spark, sf_dir), asked(spark, sf_dir), truth, CONFIG.k)
     return evaluate.recall(found, truth, CONFIG.k)
 
 
@@ -350,6 +352,54 @@ def recall_sweep(spark, sf_dir):
     return evaluate.recall(hits, truth, CONFIG.k, ("nprobe",)).groupBy("nprobe").agg(rounded(F.avg("recall")).alias("recall"))
 
 
+@query
+def recall_sweep_lists(spark, sf_dir):
+    """Recall at several numbers of lists and of probes, in one job: a quantiser's lists and probes have numbers of their own."""
+    grid = [(lists, probes) for lists in LISTS for probes in PROBES]
+    settings = spark.createDataFrame([(i, *s) for i, s in enumerate(grid)], "setting long, nlist int, nprobe int")
+    lists = probes = None
+    for nlist in LISTS:
+        centroids = trained(spark, sf_dir, nlist)[-1]
+        own = (F.col("list_id") + sum(x for x in LISTS if x < nlist)).alias("list_id")
+        a = kmeans.assign(base(spark, sf_dir), centroids).select("vec_id", own, "embedding")
+        p = kmeans.probes(asked(spark, sf_dir), centroids, max(PROBES)).select("qid", "qv", own, "probe_rank", F.lit(nlist).alias("nlist"))
+        lists, probes = (a, p) if lists is None else (lists.unionByName(a), probes.unionByName(p))
+    most = probes.join(F.broadcast(settings), "nlist").where("probe_rank <= nprobe")  # one row per setting
+    n = F.lit(len(grid))
+    # a query under a setting is a query of its own
+    hits = search.ivf(lists, most.withColumn("qid", F.col("qid") * n + F.col("setting")), CONFIG.k)
+    hits = hits.withColumns({"setting": F.pmod("qid", n), "qid": F.floor(F.col("qid") / n).cast("long")})
+    truth = search.exact(base(spark, sf_dir), asked(spark, sf_dir), CONFIG.k)
+    found = evaluate.recall(hits, truth, CONFIG.k, ("setting",)).groupBy("setting").agg(rounded(F.avg("recall")).alias("recall"))
+    return found.join(F.broadcast(settings), "setting").select("nlist", "nprobe", "recall")
+
+
+@query
+def partition_sweep(spark, sf_dir):
+    """The balance of work of all five strategies at several numbers of shards."""
+    sizes = kmeans.list_sizes(assigned(spark, sf_dir), CONFIG.nlist)
+    vectors = base(spark, sf_dir).select("vec_id")
+    return partition.swept(vectors, sizes, vectors.count(), CONFIG.nlist, SHARD_COUNTS)
+
+
+#: As on a command line: bare values in order, a value that isn't a number, an unknown flag, another name of a strategy.
+ARGUMENTS = ("24", "6", "--iters=3", "--k=bad", "--unknown=1", "--partition=greedy-lists")
+
+
+@query
+def ivf_search_settings(spark, sf_dir):
+    """A search by the settings of a command line, clamped to the table; its query limit takes queries by place (2,000 unless set)."""
+    b = base(spark, sf_dir)
+    n = b.count()
+    config = CONFIG.parsed(ARGUMENTS).clamped(n)
+    q = search.first(asked(spark, sf_dir), config.max_queries, F.col("qid") / 100)  # ids are dense, and every hundredth asks
+    centroids = trained(spark, sf_dir, config.nlist, config.iterations)[-1]
+    a = kmeans.assign(b, centroids)
+    lists = partition.dealt(a, kmeans.list_sizes(a, config.nlist), config.partition, n, config.nlist, config.shards)
+    local = search.ivf(lists, kmeans.probes(q, centroids, config.nprobe), config.k, ("shard",))
+    return out(topk.merge(local, config.k).select("qid", "rank", "dist", "vec_id"))
+
+
 # ---- graphs
 
 

@@ -42,6 +42,10 @@ def test_settings():
     c = SearchConfig(nlist=99, nprobe=50, k=20, ef_search=5, train=0).clamped(10)
     assert (c.nlist, c.nprobe, c.ef_search, c.train) == (10, 10, 20, 1)
     assert SearchConfig().merged(nlist="8", k="bad", unknown="1") == SearchConfig(nlist=8)
+    c = SearchConfig().parsed(["24", "--iters=3", "6", "--k=bad", "--unknown=1", "", "--rebuild", "--partition=greedy-lists", "50", "9", "--M=8", "--np=2", "--iters=no"])
+    assert c == SearchConfig(nlist=24, nprobe=6, max_queries=50, iterations=3, partition="greedy-lists", m=8, shards=2)
+    assert c.clamped(1000).partition == "greedy-list" and partition_name("block-by-id") == "block-id" and SearchConfig(group="").clamped(5).group == "manual"
+    assert SearchConfig().digest() == SearchConfig(nprobe=9, k=3).digest()
     assert SearchConfig().digest(table="a") != SearchConfig(train=5).digest(table="a")
 
 
@@ -90,6 +94,11 @@ def test_ties_go_to_the_lower_id(spark):
     assert [r.vec_id for r in got] == [3, 5]
 
 
+def test_query_limit_by_place(spark):
+    q = asked(spark, [[1, 0]] * 4)
+    assert {r.qid for r in search.first(q, 3).collect()} == {0, 1, 2} and search.first(q, 9).count() == 4
+
+
 def test_short_results_are_padded(spark):
     b, q = vectors(spark, [[1, 0], [0, 1]]), asked(spark, [[1, 0]])
     hits = search.exact(b, q, 5)
