@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 
 from annulus.llm import quality, queries, secrets
 
-from .helpers import SCHEMA, prose
+from .helpers import SCHEMA, documents, edge_rows, prose
 from .test_minhash import brute as minhash_brute
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,3 +79,43 @@ def test_stages(spark, corpus):
         docs = stage(spark, docs, root)
         assert docs.columns == first.columns
     assert docs.where("text RLIKE '[0-9a-f]{64}'").count() == 0
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def _sha(text):
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_run_on_edge_rows(spark, tmp_path):
+    """Nulls, blanks, repeated rows and ids, a very long text and clashing names, through all stages."""
+    secret = "token = abcdefgh12345678 x"
+    rows = [*edge_rows(), (10, secret, "en", None, len(secret)), (11, secret, None, "b", None)]
+    documents(spark, rows, clashing=True).write.parquet(f"{tmp_path}/documents.parquet")
+    # labels of one kind: all are accepted
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    text = {r[0]: r[1] for r in rows}
+    # of the copies 1, 2 and 2 the first stays, of the blank ones 3, of the long ones 6, of the secrets 10
+    thrice = [(3, None), (9, "x"), (9, "another text under the same id"), (None, "no id here at all, only words in a row"), (8, text[8]), (10, "[SECRET] x")]
+    want = Counter((i, _sha(t)) for i, t in thrice for _ in range(3))
+    # the other sources stop at three times their words; what is left of the budget is source a's
+    total = 30_007 + 7 + 10 + 6 + 2
+    left = total - 3 * (7 + 10 + 6 + 2)
+    for i in sorted((1, 6), key=lambda i: hashlib.md5(f"0:{i}:{hashlib.md5(text[i].encode()).hexdigest()}".encode()).hexdigest()):
+        words = WORD.findall(text[i])
+        if left:
+            want[i, _sha(text[i] if left >= len(words) else " ".join(words[:left]))] += 1
+        left = max(0, left - len(words))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in got) == want
+    assert all((r.n_tokens == 0) == (r.doc_id == 3) for r in got)
+
+
+def test_run_without_labels_or_rows(spark, tmp_path):
+    """No label fits: all documents stay. No document: no row."""
+    spark.createDataFrame([(99, 0, 0), (98, None, None)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark)
+    assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).count() == len(edge_rows())
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
