@@ -114,6 +114,9 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 ORACLE_SQL["recall_at_k"] = f"{_IVF}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ranked(_ALL, K)}), h AS (SELECT qid, vec_id FROM f JOIN g USING (qid, vec_id)) SELECT q.qid, count(h.vec_id) AS hits, count(h.vec_id) / {K}::DOUBLE AS recall FROM q LEFT JOIN h USING (qid) GROUP BY q.qid"
+_WIDE = f"{_KM}, {_probes(12)}"
+ORACLE_SQL["ivf_search_wide"] = f"{_WIDE} {_out(_ranked(_IN_LISTS, K))}"
+ORACLE_SQL["recall_wide"] = f"{_WIDE}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ranked(_ALL, K)}) SELECT round((SELECT count(*) FROM f JOIN g USING (qid, vec_id)) / (SELECT count(*) FROM q)::DOUBLE / {K}, 6) + 0.0 AS recall"
 _SWEEP_PAIRS = "SELECT y.nprobe, pr.qid, round(1 - list_inner_product(q.v, b.v), 12) AS dist, b.id AS vec_id FROM pr JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS nprobe) y ON pr.pr <= y.nprobe JOIN q USING (qid) JOIN l ON l.cid = pr.cid JOIN b ON b.id = l.id"
 ORACLE_SQL["recall_sweep"] = f"{_KM}, {_probes(16)}, f AS ({_ranked(_SWEEP_PAIRS, K, 'nprobe, ')}), g AS ({_ranked(_ALL, K)}), h AS (SELECT f.nprobe, count(*) AS n FROM f JOIN g USING (qid, vec_id) GROUP BY f.nprobe) SELECT CAST(nprobe AS INTEGER) AS nprobe, round(n / (SELECT count(*) FROM q)::DOUBLE / {K}, 6) + 0.0 AS recall FROM h"
 

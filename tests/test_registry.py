@@ -35,6 +35,10 @@ def test_equals_sql(spark, tables, name):
     assert got == want
 
 
+def test_wide_search_finds_nine_in_ten(spark, tables):
+    assert registry.QUERIES["recall_wide"](spark, tables[0]).first().recall >= 0.9
+
+
 def test_others_give_rows(spark, tables):
     for name in set(registry.QUERIES) - set(registry.ORACLE_SQL):
         assert registry.QUERIES[name](spark, tables[0]).count() > 0
