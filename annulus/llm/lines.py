@@ -78,8 +78,8 @@ def counted(keys: DataFrame) -> DataFrame:
 class LineRuns:
     """The runs below ``path``, in the cluster's shared storage. One writer at a time; readers see whole runs only."""
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = 4, buckets: int | None = None):
-        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+    def __init__(self, spark: SparkSession, path: str, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), max(2, fanout)
         self.version, self.runs = 0, []  # runs: (name, level, buckets)
         if self._logged():
             log = spark.read.schema("version long, name string, level int, buckets int").parquet(f"{self.path}/log")
@@ -111,13 +111,20 @@ class LineRuns:
         return self.spark.table(name)
 
     def _merged(self, runs: list[tuple[str, int, int]]) -> DataFrame:
-        found = None
-        for name, _, buckets in runs:
-            one = self.run(name, buckets)
-            found = one if found is None else found.unionByName(one)
-        if found is None:
+        """The runs joined two and two; of two runs' buckets equal ones meet, so a merge of two shuffles nothing."""
+        if not runs:
             return self.spark.createDataFrame([], _KEYS)
-        return found.groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        found = [self.run(name, buckets) for name, _, buckets in runs]
+        while len(found) > 1:
+            pairs = [found[i : i + 2] for i in range(0, len(found), 2)]
+            found = [p[0] if len(p) == 1 else self._both(*p) for p in pairs]
+        return found[0]
+
+    @staticmethod
+    def _both(one: DataFrame, other: DataFrame) -> DataFrame:
+        more = other.select("a", "b", F.col("docs").alias("docs_"), F.col("last").alias("last_"))
+        docs = F.coalesce("docs", F.lit(0)) + F.coalesce("docs_", F.lit(0))
+        return one.join(more, ["a", "b"], "full").select("a", "b", docs.alias("docs"), F.greatest("last", "last_").alias("last"))
 
     def add(self, keys: DataFrame) -> None:
         """Adds a batch's counted keys as a run, and merges the runs of each level that is full."""
@@ -153,25 +160,26 @@ def _found(a: np.ndarray, b: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _without(docs: DataFrame, marks: str | None, lost, least_chars: int) -> DataFrame:
-    """``docs`` less the lines that ``lost`` flags: its arguments are a batch, and the rows and hashes of its long lines."""
+    """``docs`` less the lines that ``lost`` flags: its arguments are a batch, its columns' places, and the rows and hashes of its long lines."""
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", marks)]
-    taken = docs.select(*(F.col(quoted(c)) for c in [*others, *([marks] if marks else [])]), F.col("text").cast("string").alias("text"))
-    place = {c: i for i, c in enumerate(taken.columns)}
+    place = {c: i for i, c in enumerate([*others, *([marks] if marks else []), "text"])}
+    # columns go by place: any name is allowed
+    taken = docs.select(*((F.col(quoted(c)) if c != "text" else F.col(c).cast("string")).alias(f"c{i}") for c, i in place.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in by_bytes(batch, column=place["text"]):
                 flat, rows, places, hashes = _split(some.column(place["text"]), least_chars)
                 gone = np.zeros(len(rows), bool)
-                gone[places] = lost(some, rows[places], hashes)
+                gone[places] = lost(some, place, rows[places], hashes)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[~gone], minlength=some.num_rows))])
                 kept = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), flat.filter(pa.array(~gone)))
                 text = pc.binary_join(kept, pa.scalar("\n", pa.large_string())).cast(pa.string())
                 counts = (pa.array(np.bincount(x, minlength=some.num_rows), pa.int64()) for x in (rows, rows[gone]))
-                yield pa.RecordBatch.from_arrays([*(some.column(place[c]) for c in others), text, *counts], names=[*others, "text", "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*(some.column(place[c]) for c in others), text, *counts], names=[f.name for f in made])
 
-    kept = taken.select(*(F.col(quoted(c)) for c in others)).schema.fields
-    return taken.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+    made = [*(taken.schema[place[c]] for c in others), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    return taken.mapInArrow(run, T.StructType(made)).toDF(*others, "text", "n_lines", "n_dropped")
 
 
 def without_common(docs: DataFrame, common: DataFrame, least_chars: int = LEAST_CHARS, few: int = FEW) -> DataFrame:
@@ -185,11 +193,12 @@ def without_common(docs: DataFrame, common: DataFrame, least_chars: int = LEAST_
         held = common.select("a", "b", "last", "keep").toArrow().sort_by("a")
         a, b, keep = (held[c].to_numpy() for c in ("a", "b", "keep"))
         shared = docs.sparkSession.sparkContext.broadcast((a, b, keep, pc.fill_null(held["last"], 0).to_numpy(), pc.is_null(held["last"]).to_numpy()))
-        own, taken = fresh(docs, "own_id"), docs.withColumn(fresh(docs, "own_id"), F.col("doc_id").cast("long"))
+        own = fresh(docs, "own_id")
+        taken = docs.withColumn(own, F.col("doc_id").cast("long"))
 
-        def lost(batch: pa.RecordBatch, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        def lost(batch: pa.RecordBatch, place: dict[str, int], rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
             a, b, keep, last, none = shared.value
-            at, ids = _found(a, b, hashes), batch.column(own)
+            at, ids = _found(a, b, hashes), batch.column(place[own])
             values, nulls = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_null(ids).to_numpy(zero_copy_only=False)
             known = at >= 0
             gone = np.zeros(len(rows), bool)
@@ -203,8 +212,8 @@ def without_common(docs: DataFrame, common: DataFrame, least_chars: int = LEAST_
     marked = keys.groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set(F.struct("a", "b")).alias(marks))
     joined = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col(owner)), "left").drop(owner)
 
-    def lost_of_row(batch: pa.RecordBatch, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        lists = batch.column(marks)
+    def lost_of_row(batch: pa.RecordBatch, place: dict[str, int], rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        lists = batch.column(place[marks])
         pairs, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
         listed = np.column_stack([of, pairs.field("a").to_numpy(), pairs.field("b").to_numpy()]).astype(np.int64)
         asked = np.column_stack([rows, hashes]).astype(np.int64)
@@ -247,7 +256,7 @@ def batches_of(docs: DataFrame, count: int) -> list[DataFrame]:
 
 def deduplicated(docs: DataFrame, runs: LineRuns | None = None, batches: int = 4, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, few: int = FEW) -> DataFrame:
     """``docs`` with the common lines of the whole table, and of ``runs`` if given, left in the largest id only."""
-    runs = runs or LineRuns(docs.sparkSession, scratch_path(docs.sparkSession, "lines"), fanout=batches)
+    runs = runs or LineRuns(docs.sparkSession, scratch_path(docs.sparkSession, "lines"))
     for batch in batches_of(docs, batches):
         runs.add(counted(keys_of(batch, least_chars)))
     common = runs.merged().where(F.col("docs") >= least_docs).select("a", "b", "last", F.lit(True).alias("keep"))

@@ -73,12 +73,12 @@ def test_no_rows_and_clashing_names(spark):
 
 def test_runs_are_levelled_and_found_again(spark):
     path = scratch_path(spark, "runs")
-    runs = lines.LineRuns(spark, path, fanout=3, buckets=4)
+    runs = lines.LineRuns(spark, path, buckets=4)
     rows = made(90, 5)
     for at in range(0, 90, 9):
         runs.add(lines.counted(lines.keys_of(frame(spark, rows[at : at + 9]))))
-    assert sorted(level for _, level, _ in runs.runs) == [0, 2]  # 10 batches: 9 merged twice, and one
-    again = lines.LineRuns(spark, path, fanout=3)
+    assert sorted(level for _, level, _ in runs.runs) == [1, 3]  # of 10 batches 8 were merged three times, and 2 once
+    again = lines.LineRuns(spark, path)
     assert again.runs == runs.runs and again.buckets == 4
     whole = lines.counted(lines.keys_of(frame(spark, rows)))
     order = ["a", "b", "docs", "last"]
