@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import rounded
+from .medians import joined_groups
+from .medians import medians as medians_of
 
 # Fixed values.
 #: (metric, factor over the group's median, whether latency must be over 1.10 times its own as well).
@@ -27,22 +29,23 @@ def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left:
     """``runs`` with reasons and removed.
 
     In groups of at least ``least_runs``, a run is flagged if a metric is over its factor of the group's
-    median; flagged runs are removed only if ``least_left`` stay. Medians are exact. The input is read
-    once and shuffled once, by the keys.
+    median; flagged runs are removed only if ``least_left`` stay. Medians are exact, and no task holds a
+    group: medians and the numbers of runs are one row a group, combined before the shuffle and joined back.
     """
-    group = Window.partitionBy(*keys)
-    joined = runs.withColumns({"__n": F.count(F.lit(1)).over(group)} | {f"__{m}": F.median(m).over(group) for m, _, _ in OUTLIER_RULES})
-    slow = F.col("latency_us") > 1.10 * F.col("__latency_us")
+    medians = medians_of(runs, keys, [m for m, _, _ in OUTLIER_RULES])
+    middle = {m: F.col(f"__median{i}") for i, (m, _, _) in enumerate(OUTLIER_RULES)}
+    slow = F.col("latency_us") > 1.10 * middle["latency_us"]
     reasons = []
     for metric, factor, with_latency in OUTLIER_RULES:
-        over = F.col(metric) > factor * F.col(f"__{metric}")
+        over = F.col(metric) > factor * middle[metric]
         if with_latency:
-            over = over & (F.col(f"__{metric}") > 0) & slow
+            over = over & (middle[metric] > 0) & slow
         reasons.append(F.when(over, F.lit(f"{metric} > {factor:.2f} x median")))
-    flagged = joined.withColumn("reasons", F.when(F.col("__n") >= least_runs, F.concat_ws("; ", *reasons)).otherwise(F.lit("")))
-    left = F.count(F.when(F.col("reasons") == "", 1)).over(group)
-    marked = flagged.withColumn("__left", left).withColumn("removed", (F.col("reasons") != "") & (F.col("__left") >= least_left))
-    return marked.select(*runs.columns, F.when(F.col("removed"), F.col("reasons")).otherwise(F.lit("")).alias("reasons"), "removed")
+    flags = F.when(F.col("__n") >= least_runs, F.concat_ws("; ", *reasons)).otherwise(F.lit(""))
+    flagged = joined_groups(runs, medians, keys).withColumn("__reasons", flags)
+    left = flagged.groupBy(*keys).agg(F.count(F.when(F.col("__reasons") == "", 1)).alias("__left"))
+    marked = joined_groups(flagged, left, keys).withColumn("__removed", (F.col("__reasons") != "") & (F.col("__left") >= least_left))
+    return marked.select(*runs.columns, F.when(F.col("__removed"), F.col("__reasons")).otherwise(F.lit("")).alias("reasons"), F.col("__removed").alias("removed"))
 
 
 def cleaned(runs: DataFrame, keys: list[str]) -> DataFrame:

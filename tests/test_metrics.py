@@ -44,3 +44,48 @@ def test_records_with_a_title_and_blank_lines(spark, tmp_path):
     run_records.append(run_records.read(spark, str(path)), str(tmp_path / "log"))
     run_records.append(run_records.read(spark, str(path)), str(tmp_path / "log"))
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 4
+
+
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_medians_are_exact(spark, most):
+    import math
+    import random
+    from statistics import median
+
+    from annulus.operators.medians import medians
+
+    r = random.Random(4)
+    rows = [("odd", float(r.randrange(10**6)), 1.0) for _ in range(301)] + [("even", r.lognormvariate(0, 8), -5.0) for _ in range(400)]
+    rows += [("ties", float(i % 3), 2.0) for i in range(90)] + [("one", 7.5, None)] + [("none", None, None)] * 3 + [(None, float(i), float(-i)) for i in range(51)] + [("infinite", x, 0.0) for x in (math.inf, -math.inf, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    for accuracy in (20, 10_000):
+        got = {row[0]: tuple(row[1:]) for row in medians(df, ["g"], ["a", "b"], most, accuracy).select("g", "__n", "__median0", "__median1").collect()}
+        for g in {x[0] for x in rows}:
+            own = [x for x in rows if x[0] == g]
+            want = [median(v) if (v := [x[i] for x in own if x[i] is not None]) else None for i in (1, 2)]
+            assert got[g] == (len(own), *want), (g, accuracy)
+
+
+HUGE = """
+import sys, tempfile
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from annulus.operators import metrics
+spark = SparkSession.builder.master("local[4]").config("spark.driver.memory", "1500m").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+x = F.xxhash64("id")
+runs = spark.range(6_000_000).select(F.col("id").alias("run_id"), F.lit("g").alias("g"), (F.abs(x % 1_000_003) + 1.0).alias("latency_us"), (F.abs(x % 999_983) + F.rand(1)).alias("gather_us"), F.rand(2).alias("search_max_us"))
+found = metrics.outliers(runs, ["g"]).agg(F.count(F.lit(1)), F.count(F.when(F.col("removed"), 1))).first()
+assert found[0] == 6_000_000 and found[1] > 1_000_000, found
+print("passed")
+"""
+
+
+def test_one_group_of_six_million_runs_in_a_small_jvm():
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    done = subprocess.run([sys.executable, "-c", HUGE.format(root=ROOT)], capture_output=True, text=True, timeout=400)
+    assert "passed" in done.stdout, done.stderr[-2000:]
