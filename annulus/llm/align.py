@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
-from .bpe import Encoder, Vocabulary
+from .bpe import PATTERN, Encoder, Vocabulary
 from .common import by_bytes, cut
 
 #: Tokens of a lane, about.
-LANE = 2048
+LANE = 512
 #: Pairs whose counts are sent to the tasks at a time: 17 bytes each.
 SLICE = 2_000_000
 _SHIFT = 32
-_TOKENS_AT_ONCE = 2_000_000
+_TOKENS_AT_ONCE = 250_000
+#: A run that the public encoder would take long for goes through the batched merge rounds.
+_LONG_RUN = re.compile(r"\S{4000}|\s{4000}")
 
 
 class Tokenizers:
@@ -47,7 +50,7 @@ class Tokenizers:
 
     def __init__(self, byte_level_path: str, pieces_path: str):
         self.vocabulary = Vocabulary(byte_level_path)
-        self.vocabulary.special = {}  # their strings are plain text here
+        self.special, self.vocabulary.special = set(self.vocabulary.special.values()), {}  # their strings are plain text here
         with open(pieces_path, "rb") as f:
             self.model = f.read()
         starts, lengths = self.vocabulary.token_starts.tolist(), self.vocabulary.token_lengths.tolist()
@@ -55,40 +58,49 @@ class Tokenizers:
         pieces = self.pieces()
         self.of_b = [bytes([int(pieces.id_to_piece(i)[3:-1], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("\u2581", " ").encode() for i in range(pieces.get_piece_size())]
         self.lengths = tuple(np.array([len(t) for t in of], np.int64) for of in (self.of_a, self.of_b))
+        self.kinds = tuple("<u2" if len(of) <= 1 << 16 else "<u4" for of in (self.of_a, self.of_b))
 
     def pieces(self):
         import sentencepiece
 
         return sentencepiece.SentencePieceProcessor(model_proto=self.model)
 
+    def byte_level(self) -> Callable[[str], list[int]]:
+        """Encodes a text with the vocabulary's tokens as ranks: its ids are in the order of its merges."""
+        import tiktoken
 
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *(np.asarray(v, np.int32) for v in values)])))
+        ranks = {t: i for i, t in enumerate(self.of_a) if t and i not in self.special}
+        encode = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        rounds = Encoder(self.vocabulary)
+        return lambda text: rounds.encode_batch([text])[0].tolist() if _LONG_RUN.search(text) else encode(text)
 
 
 def tokenized(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """row, doc_id, a, b: both tokenizers' ids, written below the shared folder. No ids where their bytes aren't the text's."""
+    """row, doc_id, a, b: both tokenizers' ids as little-endian integers of ``kinds``, written below the shared folder.
+
+    No ids where their bytes aren't the text's.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizers)  # as large as their files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        encoder, pieces = Encoder(known.vocabulary), known.pieces()
+        encode, pieces = known.byte_level(), known.pieces()
         for batch in batches:
-            for some in by_bytes(batch, 2 << 20):
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                a, b = encoder.encode_batch([" " + t if t else "" for t in texts]), pieces.encode(texts, num_threads=1)
-                for i, text in enumerate(texts):
+            for some in by_bytes(batch, 1 << 20):
+                found: tuple[list[bytes], list[bytes]] = ([], [])
+                for text in some.column("text").to_pylist():
                     whole = b" " + text.encode() if text else b""
-                    if b"".join(map(known.of_b.__getitem__, b[i])) != whole or b"".join(map(known.of_a.__getitem__, a[i].tolist())) != whole:
-                        a[i], b[i] = a[i][:0], []
-                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), _lists(a), _lists(b)], schema=schema)
+                    ids = (encode(" " + text), pieces.encode(text)) if text else ([], [])
+                    if any(b"".join(map(of.__getitem__, x)) != whole for of, x in zip((known.of_a, known.of_b), ids, strict=True)):
+                        ids = ([], [])
+                    for column, kind, x in zip(found, known.kinds, ids, strict=True):
+                        column.append(np.array(x, kind).tobytes())
+                yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), *(pa.array(x, pa.binary()) for x in found)], names=["row", "doc_id", "a", "b"])
 
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = scratch_path(spark, "tokens")
-    rows.mapInArrow(run, "row long, doc_id long, a array<int>, b array<int>").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, "row long, doc_id long, a binary, b binary").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -138,27 +150,29 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_
     return i[order], j[order], cut_here[order]
 
 
-def _merged(batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+def _flat(column: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, and how many each has."""
+    sizes = pc.binary_length(column).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64), sizes
+
+
+def _merged(batch: pa.RecordBatch, sent: tuple) -> tuple[np.ndarray, ...]:
     """Flat ids of A and B, how many each row has, and the links of the batch."""
-    (a, b), (na, nb) = zip(*((c.flatten().to_numpy().astype(np.int64), pc.list_value_length(c).to_numpy().astype(np.int64)) for c in (batch.column("a"), batch.column("b"))), strict=True)
+    lengths, kinds = sent
+    (a, na), (b, nb) = (_flat(batch.column(c), kind) for c, kind in zip(("a", "b"), kinds, strict=True))
     ends_a, ends_b = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
     return a, b, na, nb, *lockstep(ends_a, ends_b, *lanes(ends_a, ends_b, na, nb))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some million tokens at a time, whole rows."""
+    """A bounded number of tokens at a time, whole rows."""
     for batch in batches:
-        sizes = np.cumsum(pc.list_value_length(batch.column("a")).to_numpy())
-        start = 0
-        while start < batch.num_rows:
-            until = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _TOKENS_AT_ONCE, "right")))
-            yield batch.slice(start, until - start)
-            start = until
+        yield from by_bytes(batch, 2 * _TOKENS_AT_ONCE, "a")
 
 
 def links(tokens: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """row, doc_id, i, j (arrays: places of linked tokens in a and b, in the order of the text) and ends_group for each link."""
-    shared = tokens.sparkSession.sparkContext.broadcast(tokenizers.lengths)
+    shared = tokens.sparkSession.sparkContext.broadcast((tokenizers.lengths, tokenizers.kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _slices(batches):
@@ -174,7 +188,7 @@ def links(tokens: DataFrame, tokenizers: Tokenizers) -> DataFrame:
 
 def pair_counts(tokens: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """a, b, links, best: for each pair of linked ids the links of the corpus that hold it, and whether no pair of b has more."""
-    shared = tokens.sparkSession.sparkContext.broadcast(tokenizers.lengths)
+    shared = tokens.sparkSession.sparkContext.broadcast((tokenizers.lengths, tokenizers.kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, waiting = [], [], 0
@@ -184,7 +198,7 @@ def pair_counts(tokens: DataFrame, tokenizers: Tokenizers) -> DataFrame:
             keys.append(key)
             counts.append(n)
             waiting += len(key)
-            if waiting > _TOKENS_AT_ONCE:
+            if waiting > 4 * _TOKENS_AT_ONCE:
                 yield _summed(keys, counts)
                 keys, counts, waiting = [], [], 0
         if keys:
@@ -217,19 +231,19 @@ def _scored(tokens: DataFrame, lengths: Broadcast, counts: Broadcast, whole: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, best = counts.value
-        names = [f"{t}{mark}" for t in range(max(map(len, lengths.value))) for mark in ",|;"] if whole else []
+        names = [f"{t}{mark}" for t in range(max(map(len, lengths.value[0]))) for mark in ",|;"] if whole else []
         for some in _slices(batches):
             a, b, na, nb, i, j, ends = _merged(some, lengths.value)
             row, total = np.repeat(np.arange(len(na)), na)[i], len(na)
             key = (a[i] << _SHIFT) | b[j]
             place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
             here = known[place] == key if len(known) else np.zeros(len(key), bool)
-            sums = np.zeros(total, np.int64)
-            np.add.at(sums, row[here], held[place[here]])
-            n_best = np.bincount(row[here], best[place[here]], total).astype(np.int64)
+            stop = np.cumsum(np.bincount(row, minlength=total))
+            # sums of a row's links, as differences of running sums
+            sums, n_best = (np.diff(np.concatenate([[0], np.cumsum(np.where(here, of[place], 0) if len(known) else np.zeros(len(key), np.int64))])[np.r_[0, stop]]) for of in (held, best.astype(np.int64)))
             columns = [some.column("row"), some.column("doc_id"), pa.array(n_best), pa.array(sums)]
             if whole:
-                stop_a, stop_b, stop = np.cumsum(na), np.cumsum(nb), np.cumsum(np.bincount(row, minlength=total))
+                stop_a, stop_b = np.cumsum(na), np.cumsum(nb)
                 digests = []
                 for d in range(total):
                     f, g = stop_a[d] - na[d], stop_b[d] - nb[d]
@@ -246,7 +260,7 @@ def _scored(tokens: DataFrame, lengths: Broadcast, counts: Broadcast, whole: boo
 def report(tokens: DataFrame, tokenizers: Tokenizers, most: int = SLICE) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``tokens``, a written table."""
     context = tokens.sparkSession.sparkContext
-    lengths, counts = context.broadcast(tokenizers.lengths), cut(pair_counts(tokens, tokenizers))
+    lengths, counts = context.broadcast((tokenizers.lengths, tokenizers.kinds)), cut(pair_counts(tokens, tokenizers))
     parts = max(1, math.ceil(counts.count() / most))
     found = None
     for nth in range(parts):
