@@ -10,10 +10,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_root
 from .numbered import numbered
 
 #: Bytes of centroids that are sent to the executors at most.
 CENTROID_BYTES = 1 << 30
+#: Ids of the training sample and of seeds that are broadcast at most; more of them are joined.
+BROADCAST_IDS = 2_000_000
 _SLICE = 256
 
 
@@ -36,12 +39,6 @@ def reseed_ids(spark: SparkSession, n: int, nlist: int, iteration: int) -> DataF
     return spark.range(nlist).select(F.col("id").cast("int").alias("list_id"), (((F.col("id") + 1) * 7919 + (iteration + 1) * 104729) % n).alias("vec_id"))
 
 
-def gather(base: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Vectors at list_id's ids as a matrix in the order of list_id: as many rows as lists."""
-    rows = base.join(F.broadcast(ids), "vec_id").select("list_id", "embedding").toPandas().sort_values("list_id")
-    return np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-
-
 def _nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The nearest centroid, the lowest of equals: equal centroids may differ in the last bit of a product."""
     return np.argmin(np.round(1 - rows @ centroids.T, 12), axis=1).astype(np.int32)
@@ -68,37 +65,56 @@ def assign(base: DataFrame, centroids: np.ndarray) -> DataFrame:
     return base.select("vec_id", "embedding").mapInPandas(run, "vec_id long, list_id int, embedding array<float>")
 
 
-def step(sample: DataFrame, centroids: np.ndarray, fallback: np.ndarray) -> np.ndarray:
-    """One Lloyd iteration: means of the assigned vectors; a list without any gets its row of ``fallback``."""
+def partial_sums(sample: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """list_id, n, sums: a row for each task and list, with the sum of its vectors as one array; a task adds up all its batches first."""
     sent = shared(sample.sparkSession, centroids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:  # one partial sum per list and batch
-            if not len(batch):
-                continue
-            rows = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            lists = _nearest(rows, sent.value)
-            sums = np.zeros_like(sent.value)
-            np.add.at(sums, lists, rows)
-            counts = np.bincount(lists, minlength=len(sums))
-            some = np.flatnonzero(counts)
-            yield pd.DataFrame({"list_id": some.astype(np.int32), "n": counts[some], "sums": list(sums[some])})
-
-    parts = sample.select("embedding").mapInPandas(run, "list_id int, n long, sums array<double>")
-    each = parts.select("list_id", "n", F.posexplode("sums").alias("pos", "x")).groupBy("list_id", "pos").agg((F.sum("x") / F.sum("n")).alias("mean"))
-    means = each.toPandas()  # nlist x dimensions
+        sums, counts = np.zeros_like(sent.value), np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            if len(batch):
+                rows = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+                lists = _nearest(rows, sent.value)
+                np.add.at(sums, lists, rows)
+                counts += np.bincount(lists, minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pd.DataFrame({"list_id": some.astype(np.int32), "n": counts[some], "sums": list(sums[some])})
+
+    return sample.select("embedding").mapInPandas(run, "list_id int, n long, sums array<double>")
+
+
+def step(sample: DataFrame, centroids: np.ndarray, fallback: np.ndarray) -> np.ndarray:
+    """One Lloyd iteration: means of the assigned vectors; a list without any gets its row of ``fallback``."""
+
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"list_id": part["list_id"].iloc[:1], "mean": [np.sum(np.stack(part["sums"].to_numpy()), axis=0) / part["n"].sum()]})
+
+    means = partial_sums(sample, centroids).groupBy("list_id").applyInPandas(mean, "list_id int, mean array<double>").toPandas()  # a row a list
     moved = fallback.copy()
-    moved[means["list_id"].to_numpy(), means["pos"].to_numpy()] = means["mean"].to_numpy()
+    if len(means):
+        moved[means["list_id"].to_numpy()] = np.stack(means["mean"].to_numpy())
     return moved
 
 
 def train(base: DataFrame, nlist: int, iterations: int, train_n: int) -> list[np.ndarray]:
-    """Centroids before the first and after each iteration. ``base`` is read again in each: persist a small sample."""
+    """Centroids before the first and after each iteration. ``base`` is read once: sample and seeds are written."""
     spark, n = base.sparkSession, base.count()
-    sample = base.join(sample_ids(spark, n, train_n), "vec_id")
-    steps = [gather(base, seed_ids(spark, n, nlist, train_n))]
+    shared_root(spark)
+    sampled = sample_ids(spark, n, train_n).select("vec_id", F.lit(-1).alias("role"), F.lit(0).alias("list_id"))
+    seeds = [seed_ids(spark, n, nlist, train_n), *(reseed_ids(spark, n, nlist, i) for i in range(iterations))]
+    wanted = sampled
+    for role, ids in enumerate(seeds):
+        wanted = wanted.unionByName(ids.select("vec_id", F.lit(role).alias("role"), "list_id"))
+    few = min(train_n, n) + nlist * len(seeds) <= BROADCAST_IDS
+    held = base.select("vec_id", "embedding").join(F.broadcast(wanted) if few else wanted, "vec_id").checkpoint()
+
+    def seeded(role: int) -> np.ndarray:
+        rows = held.where(F.col("role") == role).select("list_id", "embedding").toPandas().sort_values("list_id")
+        return np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+
+    sample, steps = held.where("role = -1"), [seeded(0)]
     for i in range(iterations):
-        steps.append(step(sample, steps[-1], gather(base, reseed_ids(spark, n, nlist, i))))
+        steps.append(step(sample, steps[-1], seeded(i + 1)))
     return steps
 
 

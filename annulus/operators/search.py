@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_root
 from .topk import top_k
 
 _HITS = "qid long, dist double, vec_id long"
@@ -58,6 +61,21 @@ def exact(base: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> Dat
     return top_k(local_hits(held, asked, ["block", "query_block"], k), k).select("qid", "rank", "dist", "vec_id")
 
 
+def products(base: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
+    """qid, vec_id, ip of each query with every vector: the output is all pairs, dealt like ``exact``'s blocks."""
+    held, asked = blocks(base, queries, block)
+    keys = ["block", "query_block"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "ip": np.empty(0)})
+        ip = np.stack(a["qv"].to_numpy()).astype(np.float64) @ np.stack(b["embedding"].to_numpy()).astype(np.float64).T
+        return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), len(b)), "vec_id": np.tile(b["vec_id"].to_numpy(), len(a)), "ip": ip.ravel()})
+
+    asked, held = asked.select(*keys, "qid", "qv"), held.select(*keys, "vec_id", "embedding")
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, "qid long, vec_id long, ip double")
+
+
 def first(queries: DataFrame, most: int, place: str | Column = "qid") -> DataFrame:
     """The queries of the first ``most`` places, from 0: their number is the smaller of both."""
     return queries.where((F.col(place) if isinstance(place, str) else place) < most)
@@ -68,28 +86,60 @@ def candidates(lists: DataFrame, probes: DataFrame) -> DataFrame:
     return lists.select("list_id", "vec_id").join(probes.select("qid", "list_id"), "list_id").select("qid", "vec_id", "list_id")
 
 
-def ivf(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...] = (), block: int = 8192) -> DataFrame:
+def tiles(sizes: DataFrame, probes: DataFrame, of_list: list[str], block: int) -> DataFrame:
+    """of_list, blocks, query_blocks: into how many blocks a probed list's vectors and queries are dealt. Written: a row a list.
+
+    ``sizes`` has of_list and list_size. Blocks are dealt by hashes and filled a little less, so that
+    none has more than ``block`` rows but by an odd chance.
+    """
+    fill = max(1.0, block - 6 * block**0.5)
+    shared_root(probes.sparkSession)
+    asked = probes.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / fill).cast("int").alias("query_blocks"))
+    there = sizes.where("list_size > 0").select(*of_list, F.ceil(F.col("list_size") / fill).cast("int").alias("blocks"))
+    return there.join(asked, "list_id").checkpoint()
+
+
+def ivf(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...] = (), block: int = 8192, sizes: DataFrame | None = None) -> DataFrame:
     """qid, (by,) rank, dist, vec_id of the k nearest among the probed lists, per group of ``by`` such as the shard.
 
-    ``lists`` has list_id, vec_id, embedding; ``probes`` has qid, qv, list_id. A long list is dealt into
-    blocks by a hash of the id, and its probes go to each of them.
+    ``lists`` has list_id, vec_id, embedding; ``probes`` has qid, qv, list_id. A list's vectors and the queries
+    that probe it are both dealt into blocks by a hash of their ids, and each pair of blocks is a tile: one
+    matrix product in one task. ``sizes`` (by, list_id, list_size) spares counting the lists. Of lists stored
+    by list_id only the probed ones are read.
     """
+    hits = tile_hits(lists, probes, k, by, block, sizes).where("qid IS NOT NULL")
+    return top_k(hits, k, (*by, "qid")).select(*by, "qid", "rank", "dist", "vec_id")
+
+
+def timed_ivf(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...] = (), block: int = 8192, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``ivf``, and the microseconds that tasks took for each group of ``by``: by, tiles, search_us. Both are of one run, written."""
+    shared_root(lists.sparkSession)
+    raw = tile_hits(lists, probes, k, by, block, sizes).checkpoint()
+    times = raw.where("qid IS NULL").groupBy(*by).agg(F.count(F.lit(1)).alias("tiles"), F.sum("dist").alias("search_us"))
+    return top_k(raw.where("qid IS NOT NULL"), k, (*by, "qid")).select(*by, "qid", "rank", "dist", "vec_id"), times
+
+
+def tile_hits(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...], block: int, sizes: DataFrame | None) -> DataFrame:
+    """by, qid, dist, vec_id: the k nearest of each query within each tile; and for each tile a row without qid whose dist is its time."""
     of_list = [*by, "list_id"]
-    there = lists.groupBy(*of_list).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    # one row per list (and shard), as many as the index has centroids
-    cut = lists.join(F.broadcast(there), of_list).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = probes.join(there, "list_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = [*by, "list_id", "block"]
-    if not by:
-        return top_k(local_hits(cut, asked, keys, k), k).select("qid", "rank", "dist", "vec_id")
-    held = cut.select(*keys, "vec_id", "embedding").groupBy(*keys)
+    if sizes is None:
+        sizes = lists.groupBy(*of_list).agg(F.count(F.lit(1)).alias("list_size"))
+    # one row per probed list (and shard), as many as the index has centroids
+    dealt = F.broadcast(tiles(sizes, probes, of_list, block).where("query_blocks > 0"))
+    keys = [*of_list, "block", "query_block"]
+    place = lambda name, parts: F.pmod(F.xxhash64(name), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    held = lists.join(dealt, of_list).withColumn("block", place("vec_id", "blocks")).withColumn("query_block", each("query_blocks"))
+    asked = probes.join(dealt, "list_id").withColumn("query_block", place("qid", "query_blocks")).withColumn("block", each("blocks"))
     types = dict(lists.dtypes)
 
     def run(key, a, b):
-        found = _local_top(a, b, k)
-        return found.assign(**dict(zip(by, key, strict=False)))[[*by, "qid", "dist", "vec_id"]]
+        began = time.perf_counter()
+        found = _local_top(a, b, k).assign(qid=lambda x: x["qid"].astype("Int64"), vec_id=lambda x: x["vec_id"].astype("Int64"))
+        took = pd.DataFrame({"qid": pd.array([pd.NA], "Int64"), "dist": [(time.perf_counter() - began) * 1e6], "vec_id": pd.array([pd.NA], "Int64")})
+        return pd.concat([found, took]).assign(**dict(zip(by, key, strict=False)))[[*by, "qid", "dist", "vec_id"]]
 
-    asked = asked.select(*keys, "qid", "qv")
+    asked, held = asked.select(*keys, "qid", "qv"), held.select(*keys, "vec_id", "embedding")
     asked = asked.toDF(*asked.columns)  # names of its own, apart from the lists it was joined with
-    hits = asked.groupBy(*keys).cogroup(held).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", " + _HITS)
-    return top_k(hits, k, (*by, "qid")).select(*by, "qid", "rank", "dist", "vec_id")
+    schema = ", ".join([*(f"{c} {types[c]}" for c in by), _HITS])
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, schema)

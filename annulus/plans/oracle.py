@@ -107,6 +107,7 @@ ORACLE_SQL: dict[str, str] = {
     "ivf_candidates": f"{_IVF} SELECT pr.qid, l.id AS vec_id, l.cid AS list_id FROM pr JOIN l USING (cid)",
     "ivf_candidate_count": f"{_IVF} SELECT pr.qid, count(l.id) AS candidates FROM pr LEFT JOIN l USING (cid) GROUP BY pr.qid",
     "ivf_search": f"{_IVF} {_out(_ranked(_IN_LISTS, K))}",
+    "ivf_search_stored": f"{_IVF} {_out(_ranked(_IN_LISTS, K))}",
     "ivf_search_sharded": f"{_IVF} {_out(_ranked(_IN_LISTS, K))}",
     "shard_global_merge": f"{_IVF} {_out(_ranked(_IN_LISTS, K))}",
     "shard_local_topk": f"{_IVF} {_out(_ranked(_IN_SHARDS, K, 'shard, '), 'shard, ')}",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -28,3 +29,23 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the session's shared checkpoint folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _at(spark, path)
+    return store.exists(at)
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """A digest of the names, lengths and times of all files at ``path``, in any store that Spark reads: no data is read."""
+    at, store = _at(spark, path)
+    files, found = store.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()

@@ -198,3 +198,61 @@ def test_graph_recall(spark, cloud):
         assert evaluate.recall(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.9
     few = partition.owned(vectors(spark, cloud[:3]), "cyclic", 3, 8)  # most shards are empty
     assert hnsw.search(hnsw.build(few, 4, 10), q, 10, 10).groupBy("qid").count().where("count <> 3").count() == 0
+
+
+# ---- tiles, stored lists, timings
+
+
+def test_queries_of_one_list_are_dealt_too(spark):
+    r = np.random.default_rng(8)
+    rows, queries = r.normal(size=(700, 4)).astype("float32"), r.normal(size=(900, 4)).astype("float32")
+    lists = vectors(spark, rows).withColumn("list_id", F.lit(3))
+    probes = asked(spark, queries).withColumn("list_id", F.lit(3))
+    block = 200
+    assert tuples(search.ivf(lists, probes, 5, block=block)) == brute(rows, queries, 5)
+    sizes = spark.createDataFrame([(3, 700)], "list_id int, list_size long")
+    dealt = search.tiles(sizes, probes, ["list_id"], block).first()
+    assert dealt.blocks == 7 and dealt.query_blocks == 8
+    assert 700 / dealt.blocks + 6 * (700 / dealt.blocks) ** 0.5 <= block and 900 / dealt.query_blocks < block
+
+
+def test_tiles_stay_within_their_size(spark):
+    probes = spark.range(50_000).select(F.col("id").alias("qid"), F.lit(0).alias("list_id"))
+    sizes = spark.createDataFrame([(0, 60_000)], "list_id int, list_size long")
+    parts = search.tiles(sizes, probes, ["list_id"], 8192).first()
+    for n, of in ((60_000, parts.blocks), (50_000, parts.query_blocks)):
+        assert spark.range(n).groupBy(F.pmod(F.xxhash64("id"), F.lit(of))).count().agg(F.max("count")).first()[0] <= 8192
+
+
+def test_stored_lists_are_pruned(spark, cloud, tmp_path):
+    from annulus.sources import index_store
+
+    b, q = vectors(spark, cloud), asked(spark, cloud[:1])
+    centroids = kmeans.train(b, 9, 2, 100)[-1]
+    index_store.save(kmeans.assign(b, centroids), str(tmp_path / "lists"), "d", "list_id", "vec_id")
+    stored = index_store.load(spark, str(tmp_path / "lists"), "d", b)
+    probes = kmeans.probes(q, centroids, 2)
+    hits = search.ivf(stored, probes, 5, sizes=index_store.list_sizes(spark, str(tmp_path / "lists")))
+    assert "dynamicpruning" in hits._jdf.queryExecution().executedPlan().toString()
+    assert tuples(hits) == tuples(search.ivf(kmeans.assign(b, centroids), probes, 5))
+
+
+def test_times_are_those_of_shards(spark):
+    rows = np.random.default_rng(1).normal(size=(20_000, 16)).astype("float32")
+    lists = vectors(spark, rows).withColumns({"list_id": F.lit(0), "shard": F.when(F.col("vec_id") < 100, 0).otherwise(1)})
+    probes = asked(spark, rows[:300]).withColumn("list_id", F.lit(0))
+    hits, times = search.timed_ivf(lists, probes, 5, ("shard",), block=4096)
+    took = {r.shard: r for r in times.collect()}
+    assert set(took) == {0, 1} and took[0].tiles == 1 and took[1].tiles > 4
+    mean, most = sum(r.search_us for r in took.values()) / 2, max(r.search_us for r in took.values())
+    assert 0 < mean < most == took[1].search_us
+    assert hits.count() == 2 * 5 * 300
+
+
+def test_steps_shuffle_a_row_for_each_task_and_list(spark, cloud):
+    rows = vectors(spark, cloud).repartition(3)
+    centroids = cloud[:5].astype(np.float64)
+    moved = kmeans.step(rows, centroids, centroids)
+    near = kmeans._nearest(cloud.astype(np.float64), centroids)
+    assert np.allclose(moved, np.array([cloud[near == c].astype(np.float64).mean(axis=0) if (near == c).any() else centroids[c] for c in range(5)]))
+    assert kmeans.partial_sums(rows, centroids).count() <= 3 * 5

@@ -44,3 +44,56 @@ def test_streamed_queries(spark, tmp_path):
     stream = spark.readStream.schema("qid long, qv array<float>").parquet(str(tmp_path / "in"))
     answer(stream, lambda q: q.select("qid"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_matrices_by_ranges_inside_files(spark, tmp_path):
+    rows = np.random.default_rng(5).normal(size=(5000, 6)).astype("<f4")
+    for name, part in (("a.bin", rows[:2100]), ("b.bin", rows[2100:]), ("c.bin", rows[:0])):
+        (tmp_path / name).write_bytes(np.array(part.shape, "<u4").tobytes() + part.tobytes())
+    got = fbin.read(spark, str(tmp_path), most=24 * 700)
+    assert got.rdd.getNumPartitions() == 3 + 5  # both files are dealt
+    found = sorted(((r.vec_id, r.embedding) for r in got.collect()), key=lambda r: r[0])
+    assert found == [(i, x.tolist()) for i, x in enumerate(rows)]
+    ids = fbin.read(spark, str(tmp_path), most=24 * 700, columns=["vec_id"])
+    assert ids.columns == ["vec_id"] and sorted(r.vec_id for r in ids.collect()) == list(range(5000))
+
+
+def test_changed_sources_and_broken_indexes_are_refused(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    def vectors(shift):
+        return spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(float(shift)).cast("float")).alias("embedding"))
+
+    source, path = str(tmp_path / "vectors"), str(tmp_path / "index")
+    vectors(0).write.parquet(source)
+    index_store.save(spark.read.parquet(source).withColumn("list_id", (F.col("vec_id") % 3).cast("int")), path, "d", "list_id", "vec_id")
+    assert index_store.load(spark, path, "d", spark.read.parquet(source)).count() == 40
+    assert [(r.list_id, r.list_size, r.list_offset) for r in index_store.list_sizes(spark, path).orderBy("list_id").collect()] == [(0, 14, 0), (1, 13, 14), (2, 13, 27)]
+    vectors(1).write.mode("overwrite").parquet(source)  # other vectors under the same path
+    with pytest.raises(ValueError, match="other vectors"):
+        index_store.load(spark, path, "d", spark.read.parquet(source))
+    vectors(0).limit(39).write.mode("overwrite").parquet(source)
+    with pytest.raises(ValueError, match="other vectors"):
+        index_store.load(spark, path, "d", spark.read.parquet(source))
+    spark.range(1).select(F.lit(7).cast("long").alias("vec_id"), F.array(F.lit(1.0).cast("float")).alias("embedding")).write.mode("append").parquet(f"{path}/data/list_id=1")
+    with pytest.raises(ValueError, match="lists"):
+        index_store.load(spark, path, "d")
+
+
+def test_records_in_splits_read_like_one(spark, tmp_path):
+    from annulus.sources import run_records
+
+    path = tmp_path / "runs.csv"
+    path.write_text("results of all runs\n\nrun_id,np,recall\n" + "".join(f"r{i},{i % 7},0.{i % 10}\n" + "\n" * (i % 50 == 0) for i in range(3000)))
+    (tmp_path / "none.csv").write_text("no header here\n")
+    want = sorted(tuple(r) for r in run_records.read(spark, str(tmp_path)).collect())
+    assert len(want) == 3000 and len({r[0] for r in want}) == 3000
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 4
+        assert sorted(tuple(r) for r in run_records.read(spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    lines = [(r.place, r.line) for r in run_records.described(run_records.read(spark, str(path)).where("run_id = 'r5'")).orderBy("place").collect()]
+    assert [x for _, x in lines][1:] == ["run_id: r5", "np: 5", "recall: 0.5"]
