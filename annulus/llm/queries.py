@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from . import align, bpe, fim, fingerprint, licenses, lines, neardup, quality, repeats, secrets, topk, urls
 from .common import table
 from .mixing import mix
@@ -61,7 +62,7 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.report(docs, secrets.update(docs))
+    return secrets.report(docs, secrets.in_turn(docs, scratch_path(spark, "ledger")))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

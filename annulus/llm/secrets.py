@@ -6,7 +6,7 @@ pair that the ledger lacks, and findings go back by address to every document th
 So copies and unchanged versions cost a hash and no scan.
 
 Texts stay where they are read as long as the table that picks them is small: the blobs that several
-documents hold, when there is no ledger yet, the blobs to scan, when there is one, or the blobs with
+documents hold or of which some version is known, or else the blobs to scan, or the blobs with
 findings, when these are masked. Above a checked bound they cross one shuffle, with equal results.
 
 Rules: the base kinds assign, access and hex (version ``base-1``), and further kinds (version
@@ -74,19 +74,21 @@ def blob_id(text: Column) -> Column:
 def _texts(docs: DataFrame, ledger: DataFrame | None, versions: tuple[str, ...], most: int) -> DataFrame:
     """blob, text and versions of one document, that with the smallest id, for each blob that has unseen versions."""
     paths = docs.select("doc_id", "text", blob_id(F.col("text")).alias("blob"))
+    asked = F.array(*map(F.lit, versions))
     blobs = paths.groupBy(F.col("blob").alias("unseen")).agg(F.min("doc_id").alias("at"), F.count(F.lit(1)).alias("times"))
-    here = F.col("doc_id").eqNullSafe(F.col("at"))
     if ledger is None:
-        blobs = cut(blobs)
-        several = blobs.where("times > 1")
-        if several.count() <= most:
-            found = paths.join(F.broadcast(several), F.col("blob") == F.col("unseen"), "left").where(F.col("unseen").isNull() | here)
-        else:
-            found = paths.join(blobs, (F.col("blob") == F.col("unseen")) & here)
-        return found.select("blob", "text", F.array(*map(F.lit, versions)).alias("versions"))
-    wanted = blobs.withColumn("version", F.explode(F.array(*map(F.lit, versions)))).join(ledger.select(F.col("blob").alias("unseen"), "version"), ["unseen", "version"], "left_anti")
-    todo = cut(wanted.groupBy("unseen").agg(F.min("at").alias("at"), F.collect_set("version").alias("versions")))
-    return paths.join(F.broadcast(todo) if todo.count() <= most else todo, (F.col("blob") == F.col("unseen")) & here).select("blob", "text", "versions")
+        blobs = blobs.withColumn("versions", asked)
+    else:
+        known = ledger.where(F.col("version").isin(*versions)).groupBy(F.col("blob").alias("unseen")).agg(F.collect_set("version").alias("known"))
+        blobs = blobs.join(known, "unseen", "left").select("unseen", "at", "times", F.array_except(asked, F.coalesce("known", F.array().cast("array<string>"))).alias("versions"))
+    blobs = cut(blobs)
+    here, first = F.col("blob") == F.col("unseen"), F.col("doc_id").eqNullSafe(F.col("at"))
+    # what isn't simply scanned whole, and what is scanned at all: whichever is small goes to the texts
+    odd, todo = blobs.where((F.col("times") > 1) | (F.size("versions") < len(versions))), blobs.where(F.size("versions") > 0)
+    if odd.count() <= most:
+        found = paths.join(F.broadcast(odd), here, "left").where(F.col("unseen").isNull() | (first & (F.size("versions") > 0)))
+        return found.select("blob", "text", F.coalesce("versions", asked).alias("versions"))
+    return paths.join(F.broadcast(todo) if todo.count() <= most else todo, here & first).select("blob", "text", "versions")
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, versions: tuple[str, ...] = (BASE, EXTRA), most: int = BROADCAST_BLOBS) -> DataFrame:
@@ -111,6 +113,13 @@ def update(docs: DataFrame, path: str | None = None, versions: tuple[str, ...] =
     return spark.read.schema(schema).parquet(path)
 
 
+def in_turn(docs: DataFrame, path: str, versions: tuple[str, ...] = (BASE, EXTRA)) -> DataFrame:
+    """The ledger at ``path`` after one scan for each rule version, each against what the ones before it left there."""
+    for version in versions:
+        ledger = update(docs, path, (version,))
+    return ledger
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

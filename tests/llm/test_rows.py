@@ -224,3 +224,24 @@ def test_windows_find_changed_texts(spark):
     got = {(x.doc_id, x.template_id) for x in licenses.scan(documents(spark, rows), licenses.templates(spark)).collect()}
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 100
     assert licenses.meets(11 / 21) > 0.99 and licenses.meets(1.0) == 1
+
+
+def test_versions_in_turn_scan_each_pair_once(spark, tmp_path):
+    first = [(i, f"text {i % 7} password = abcdefgh{i % 7} " + "ghp_" + "a" * 36) for i in range(30)]
+    second = [(i, t if i % 2 else t + " changed") for i, t in first] + [(99, None), (100, "")]
+    blobs = [{t or "" for _, t in rows} for rows in (first, second)]
+    for most in (100_000, 1, -1):  # texts stay, the blobs to scan are sent, texts are shuffled
+        path = str(tmp_path / f"ledger{most}")
+        for nth, rows in enumerate((first, second)):
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+            for version in (secrets.BASE, secrets.EXTRA):
+                known = spark.read.parquet(path) if nth or version == secrets.EXTRA else None
+                pairs = secrets.scan(docs, known, (version,), most)
+                # of the second version of the corpus, new texts only
+                assert pairs.count() == len(blobs[nth] - (blobs[0] if nth else set())), (most, nth, version)
+                secrets.update(docs, path, (version,))
+        ledger = spark.read.parquet(path)
+        assert ledger.count() == 2 * len(blobs[0] | blobs[1])
+        assert rows_of(secrets.report(docs, ledger)) == rows_of(secrets.report(docs, secrets.update(docs)))
+    docs = spark.createDataFrame(first, "doc_id long, text string")
+    assert rows_of(secrets.report(docs, secrets.in_turn(docs, str(tmp_path / "turn")))) == rows_of(secrets.report(docs, secrets.update(docs)))
