@@ -61,6 +61,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_digest(text: Column) -> Column:
+    """16 bytes by which a text is known; a null one counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def content_of(text: Column, doc_id: Column) -> Column:
     """A hash of the text that, with the id (0 for a null one), tells a row from all rows but its repetitions."""
     return F.xxhash64(F.coalesce(text, F.lit("")), doc_id.isNull(), text.isNull())

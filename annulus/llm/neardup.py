@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hamming, minhash
-from .common import cut, fresh, id_back, id_text, quoted
+from .common import cut, fresh, id_back, id_text, quoted, text_digest
 from .graph import components
 
 _CHUNK = 1 << 15
@@ -74,7 +74,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id, a null id last; of equal ids, the smallest hash of the text."""
+    """``docs`` with one document of each group: that with the smallest id, a null id last; of equal ids, the smallest digest of the text."""
     return first_of_groups(docs, minhash.content_groups(docs, width, seed, least))
 
 
@@ -87,11 +87,11 @@ def first_of_groups(docs: DataFrame, placed: DataFrame) -> DataFrame:
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
     of_id, of_text, rest, nth = (fresh(docs, c) for c in ("first_id", "first_content", "rest", "nth"))
     kept = cut(first.select(F.col("first.doc_id").alias(of_id), F.col("first.content").alias(of_text)))
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_text)), "left_semi")
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of_id)) & (text_digest(F.col("text")) == F.col(of_text)), "left_semi")
     repeated = placed.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     if repeated.join(kept, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col("content") == F.col(of_text)), "left_semi").isEmpty():
         return one
     others = F.xxhash64(F.to_json(F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias(rest))))
     # Spark ranks in each partition before the shuffle as well
-    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(others))
+    place = F.row_number().over(Window.partitionBy("doc_id", text_digest(F.col("text"))).orderBy(others, F.col("text").isNull()))
     return one.withColumn(nth, place).where(F.col(nth) == 1).drop(nth)
