@@ -17,8 +17,12 @@ through this; the others lose all their bytes, if they have ``length`` of them.
 An anchor that occurs over ``crowded`` times, as a common phrase does, would fill a shard with its
 contexts: its strings travel one by one instead, each to the shard of its own hash. A string has a row
 for each group that holds it; beyond ``part_groups`` of these it is dealt to several shards, each of
-which finds its first document there, and a last pass compares these firsts. The windows by anchor and
-by string see a row per group of some ``group_bytes`` of text at most, less than a partition's worth.
+which finds its first document there, and an aggregate joined back compares these firsts. What is known of an
+anchor is a row for each group too: up to ``part_groups`` rows meet in a window, more are combined by an
+aggregate and joined back, so no task has the rows of one phrase of the whole corpus.
+
+A shard's contexts end after 2 x ``length`` - ``seed`` bytes. That bounds what the suffix array's sorting of
+names compares: it is linear for strings of bounded repeats, as these are, and not for any string.
 
 Edge cases: a null text counts as empty; texts shorter than ``length`` keep all; a null doc_id is
 larger than every other; documents of the same id, and those without, don't remove from each other;
@@ -57,7 +61,13 @@ class Plan:
     crowded: int = 50_000
     group_bytes: int = 4 << 20
     shard_bytes: int = 2 << 20
-    part_groups: int = 4096  # groups whose rows of one crowded string share a task
+    part_groups: int = 4096  # groups whose rows of one crowded string, or of one anchor, share a task
+
+    def __post_init__(self):
+        if not 0 < self.seed <= self.length:
+            raise ValueError(f"a seed of {self.seed} bytes isn't within {self.length}")
+        if self.length - self.seed + 1 > 62:
+            raise ValueError(f"a context of {self.length} bytes and a seed of {self.seed} has more strings than a mask of 62 bits")
 
 
 def _rolling(buf: np.ndarray, size: int) -> np.ndarray:
@@ -320,9 +330,14 @@ def deduplicated(docs: DataFrame, plan: Plan = Plan(), *, with_text: bool = Fals
     copies = cut(_copies(dealt)).toDF("group", "place", "digest")  # names of its own, apart from those of the texts
     in_groups, copied = dealt.groupBy("group"), copies.groupBy("group")
     anchors = in_groups.cogroup(copied).applyInPandas(lambda a, b: anchors_of(_without(a, b), plan), "key long, told long")
-    of_key = Window.partitionBy("key")
+    parts = -(-groups // plan.part_groups)
     times = F.shiftright("told", 1).bitwiseAND(F.lit(_MOST_TIMES))
-    seen = anchors.withColumns({"groups": F.count(F.lit(1)).over(of_key), "several": F.max(F.col("told").bitwiseAND(F.lit(1))).over(of_key), "all": F.sum(times).over(of_key)})
+    of_key = {"groups": F.count(F.lit(1)), "several": F.max(F.col("told").bitwiseAND(F.lit(1))), "all": F.sum(times)}
+    if parts == 1:  # an anchor has a row a group, so its window has ``part_groups`` rows at most
+        seen = anchors.withColumns({c: x.over(Window.partitionBy("key")) for c, x in of_key.items()})
+    else:  # combined before the shuffle and joined back, in a join that can be split
+        anchors = cut(anchors)
+        seen = anchors.join(anchors.groupBy("key").agg(*(x.alias(c) for c, x in of_key.items())).where((F.col("groups") > 1) | (F.col("several") == 1)), "key")
     zero = F.lit(0).cast("long")
     wanted = seen.where((F.col("groups") > 1) | (F.col("several") == 1)).select(F.shiftright("told", _TOLD_BITS).alias("group"), F.when(F.col("all") > plan.crowded, _CROWDED).otherwise(_USUAL).alias("kind"), "key", F.lit(b"").alias("digest"))
     marks = copies.select("group", F.lit(_COPY).alias("kind"), F.col("place").alias("key"), "digest")
@@ -333,15 +348,17 @@ def deduplicated(docs: DataFrame, plan: Plan = Plan(), *, with_text: bool = Fals
         return contexts_of(_without(texts, told[copy].rename(columns={"key": "place"})), wanted.assign(crowded=wanted["kind"] == _CROWDED), plan)
 
     contexts = in_groups.cogroup(wanted.unionByName(marks).groupBy("group")).applyInPandas(gather, "key long, anchor long, context binary, told long, lo long")
-    parts = -(-groups // plan.part_groups)
     salt = F.when(F.col("told").bitwiseAND(F.lit(2)) != 0, F.pmod(F.shiftright("told", 2), F.lit(parts))).otherwise(zero)
     shard = F.pmod(F.xxhash64("key", salt) if parts > 1 else F.xxhash64("key"), F.lit(shards)).alias("shard")
     found = contexts.groupBy(shard).applyInPandas(lambda pdf: matches_of(pdf, plan, parts > 1), "group long, kind int, key long, anchor long, digest binary, lo long, mask long, several boolean")
     if parts > 1:
-        # a crowded string's first document over all its shards; usual contexts are spread, each alone
-        alone = F.when(F.col("kind") == _CROWDED, zero).otherwise(F.col("group") + 1)
-        least = F.min("lo").over(Window.partitionBy("key", "digest", alone))
-        found = found.withColumn("mask", F.when((F.col("kind") == _CROWDED) & (F.col("lo") > least), F.lit(-1).cast("long")).otherwise(F.col("mask"))).where((F.col("mask") != 0) | F.col("several"))
+        # a crowded string's first document over all its shards
+        found = cut(found)
+        crowded = F.col("kind") == _CROWDED
+        least = found.where(crowded).groupBy(F.col("key").alias("of_key"), F.col("digest").alias("of_digest")).agg(F.min("lo").alias("least"))
+        judged = found.where(crowded).join(least, (F.col("key") == F.col("of_key")) & (F.col("digest") == F.col("of_digest")))
+        judged = judged.withColumn("mask", F.when(F.col("lo") > F.col("least"), F.lit(-1).cast("long")).otherwise(F.col("mask"))).select(*found.columns)
+        found = found.where(~crowded).unionByName(judged).where((F.col("mask") != 0) | F.col("several"))
     found = found.drop("several")
     # no nulls, which pandas would make floats
     answers = found.unionByName(marks.withColumns({c: zero for c in ("anchor", "lo", "mask")}))

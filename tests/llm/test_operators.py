@@ -199,6 +199,37 @@ def test_trees_learn_held_out_rows():
     assert ((forest.score(rows[2000:]) >= 0.5) == labels[2000:]).mean() > 0.95
 
 
+def test_fit_equals_a_search_of_all_splits():
+    """Each node of one tree against every feature and every bin's edge, row by row."""
+    r = np.random.default_rng(7)
+    rows = np.round(r.normal(size=(400, 5)), 1)  # with ties
+    rows[:, 4] = 1.5  # no split
+    labels = ((rows[:, 1] + 0.5 * rows[:, 3] + r.normal(scale=0.3, size=400)) > 0.2).astype(float)
+    depth, bins, rate, least, ridge = 3, 16, 0.12, 4.0, 1.0
+    forest = quality.fit(rows, labels, trees=1, depth=depth, bins=bins, rate=rate, least=least, ridge=ridge)
+    p = labels.mean()
+    slope, bend = labels - p, np.full(len(rows), p * (1 - p))
+    held = {0: np.arange(len(rows))}
+    for node in range(2**depth - 1):
+        own, best = held[node], (1e-9, 0, np.inf)
+        for j in range(rows.shape[1]):
+            for edge in np.unique(np.quantile(rows[:, j], np.linspace(0, 1, bins + 1)[1:-1])):
+                low = own[rows[own, j] <= edge]
+                high = own[rows[own, j] > edge]
+                if bend[low].sum() < least or bend[high].sum() < least:
+                    continue
+                gain = sum(slope[x].sum() ** 2 / (bend[x].sum() + ridge) for x in (low, high)) - slope[own].sum() ** 2 / (bend[own].sum() + ridge)
+                if gain > best[0] * (1 + 1e-9):
+                    best = (gain, j, edge)
+        assert (forest.feature[0, node], forest.threshold[0, node]) == best[1:], node
+        right = rows[own, best[1]] > best[2]
+        held[2 * node + 1], held[2 * node + 2] = own[~right], own[right]
+    for leaf in range(2**depth):
+        own = held[2**depth - 1 + leaf]
+        assert abs(forest.leaf[0, leaf] - rate * slope[own].sum() / (bend[own].sum() + ridge)) < 1e-9
+    assert abs(forest.base - np.log(p / (1 - p))) < 1e-12 and (forest.threshold < np.inf).sum() > 3
+
+
 def test_flat_traversal_equals_walking():
     r = np.random.default_rng(2)
     rows = r.normal(size=(300, len(quality.FEATURES)))
@@ -287,6 +318,14 @@ def test_repeats_brute_force(spark, plan):
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
 
 
+def test_plans_whose_masks_would_overflow():
+    with pytest.raises(ValueError, match="62 bits"):
+        repeats.Plan(length=100, seed=20)
+    with pytest.raises(ValueError, match="within"):
+        repeats.Plan(length=10, seed=20)
+    repeats.Plan(length=81, seed=20)
+
+
 # ---- secrets
 
 
