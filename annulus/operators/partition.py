@@ -59,22 +59,44 @@ def dealt(assigned: DataFrame, sizes: DataFrame, strategy: str, n: int, nlist: i
     return owned(assigned, strategy, n, shards)
 
 
-def swept(vectors: DataFrame, sizes: DataFrame, n: int, nlist: int, counts: tuple[int, ...]) -> DataFrame:
-    """strategy, np and the balance of work of every strategy at every number of shards, from one scan of ``vectors`` (vec_id)."""
-    rules = {"block-id": lambda c: block_id(F.col("vec_id"), n, c), "cyclic": lambda c: cyclic(F.col("vec_id"), c), "random-hash": lambda c: random_hash(F.col("vec_id"), c)}
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.lit(c).alias("np"), rule(c).alias("shard")) for s, rule in rules.items() for c in counts)))
-    work = vectors.select(each.alias("x")).select("x.*", F.lit(1).cast("long").alias("work"))
+def _id_rules(n: int, shards: int) -> dict[str, Column]:
+    return {"block-id": block_id(F.col("vec_id"), n, shards), "cyclic": cyclic(F.col("vec_id"), shards), "random-hash": random_hash(F.col("vec_id"), shards)}
+
+
+def _by_shard(vectors: DataFrame, sizes: DataFrame, n: int, nlist: int, counts: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """strategy, np, shard, (by,) work: how many vectors every strategy gives each shard at every number of shards, from one scan of ``vectors``."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.lit(c).alias("np"), shard.alias("shard")) for c in counts for s, shard in _id_rules(n, c).items())))
+    work = vectors.select(*by, each.alias("x")).groupBy(*by, "x.strategy", "x.np", "x.shard").agg(F.count(F.lit(1)).alias("work")).select("strategy", "np", "shard", *by, "work")
     for c in counts:
-        held = F.col("list_size").alias("work")
-        whole = sizes.select(F.lit("contiguous-list").alias("strategy"), F.lit(c).alias("np"), contiguous_list(F.col("list_id"), nlist, c).alias("shard"), held)
-        greedy = greedy_list(sizes, c).select(F.lit("greedy-list").alias("strategy"), F.lit(c).alias("np"), "shard", held)
+        held = (*by, F.col("list_size").alias("work"))
+        whole = sizes.select(F.lit("contiguous-list").alias("strategy"), F.lit(c).alias("np"), contiguous_list(F.col("list_id"), nlist, c).alias("shard"), *held)
+        greedy = greedy_list(sizes, c).select(F.lit("greedy-list").alias("strategy"), F.lit(c).alias("np"), "shard", *held)
         work = work.unionByName(whole).unionByName(greedy)
+    return work
+
+
+def _balance(work: DataFrame) -> DataFrame:
+    """strategy, np, work_min, work_avg, work_max, imbalance_ratio of strategy, np, shard, work."""
     work = work.groupBy("strategy", "np", "shard").agg(F.sum("work").alias("work"))
     least = F.when(F.count(F.lit(1)) < F.col("np"), F.lit(0)).otherwise(F.min("work"))  # a shard without any has no row
     found = work.groupBy("strategy", "np").agg(least.alias("work_min"), (F.sum("work") / F.col("np")).alias("work_avg"), F.max("work").alias("work_max"))
     return found.withColumn("imbalance_ratio", F.when(F.col("work_avg") > 0, F.round(F.col("work_max") / F.col("work_avg"), 6)).otherwise(F.lit(0.0)))
 
 
+def swept(vectors: DataFrame, sizes: DataFrame, n: int, nlist: int, counts: tuple[int, ...]) -> DataFrame:
+    """The balance of the vectors (vec_id) that every strategy deals, at every number of shards."""
+    return _balance(_by_shard(vectors, sizes, n, nlist, counts))
+
+
+def search_work(assigned: DataFrame, sizes: DataFrame, probes: DataFrame, n: int, nlist: int, counts: tuple[int, ...]) -> DataFrame:
+    """The balance of the candidates that a search visits: ``assigned`` (vec_id, list_id), ``probes`` (list_id and the number of its probes).
+
+    Vectors are counted by list and shard before the probes are known of, so no candidate is made.
+    """
+    held = _by_shard(assigned, sizes, n, nlist, counts, ("list_id",))
+    return _balance(held.join(probes, "list_id").select("strategy", "np", "shard", (F.col("work") * F.col("probes")).alias("work")))
+
+
 def work_balance(sharded: DataFrame, shards: int) -> DataFrame:
     """One row: work_min, work_avg, work_max and imbalance_ratio, the largest over the average; empty shards count."""
     every = sharded.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))

@@ -139,6 +139,20 @@ _STRATEGIES = [
 ORACLE_SQL["partition_sweep"] = f"""{_SPLITMIX}, {_KM.removeprefix("WITH ")}, {_SIZES}, w AS ({" UNION ALL ".join(_STRATEGIES)}), e AS (SELECT strategy, np, shard, sum(work) AS work FROM w GROUP BY ALL)
 SELECT strategy, np, CAST(CASE WHEN count(*) < np THEN 0 ELSE min(work) END AS BIGINT) AS work_min, sum(work)::DOUBLE / np AS work_avg, CAST(max(work) AS BIGINT) AS work_max, round(max(work) / (sum(work)::DOUBLE / np), 6) AS imbalance_ratio FROM e GROUP BY strategy, np"""
 
+_SETTINGS = f"{_kmeans(24, 3)}, {_probes(6, 'c3')}"
+ORACLE_SQL["recall_settings"] = f"{_SETTINGS}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ranked(_ALL, K)}) SELECT round((SELECT count(*) FROM f JOIN g USING (qid, vec_id)) / (SELECT count(*) FROM q)::DOUBLE / {K}, 6) + 0.0 AS recall"
+_OF_LIST = "SELECT CAST(t.np AS INTEGER) AS np, {} AS strategy, CAST({} AS INTEGER) AS shard, y.n AS work FROM {} JOIN y ON y.list_id = {}, (SELECT unnest([1, 2, 4, 8]) AS np) t"
+_GREEDY_PROBED = " UNION ALL ".join(f"SELECT {np}, 'greedy-list', CAST(owner AS INTEGER), list_size * n FROM (WITH RECURSIVE {_greedy(np)} SELECT g.owner, o.list_size, y.n FROM g JOIN o USING (i) JOIN y USING (list_id))" for np in (1, 2, 4, 8))
+_PROBED = [
+    _OF_LIST.format("'block-id'", "((l.id + 1) * t.np - 1) // (SELECT n FROM p)", "l", "l.cid"),
+    _OF_LIST.format("'cyclic'", "l.id % t.np", "l", "l.cid"),
+    _OF_LIST.format("'random-hash'", "xor(z, z // 2147483648) % CAST(t.np AS UHUGEINT)", "l JOIN x2 ON x2.vec_id = l.id", "l.cid"),
+    _OF_LIST.format("'contiguous-list'", f"least(zz.list_id * t.np // {NLIST}, t.np - 1)", "z AS zz", "zz.list_id").replace("y.n AS work", "y.n * zz.list_size AS work"),
+    _GREEDY_PROBED,
+]
+ORACLE_SQL["search_work_sweep"] = f"""{_SPLITMIX}, {_IVF.removeprefix("WITH ")}, {_SIZES}, y AS (SELECT cid AS list_id, count(*) AS n FROM pr GROUP BY cid), w AS ({" UNION ALL ".join(_PROBED)}), e AS (SELECT strategy, np, shard, sum(work) AS work FROM w GROUP BY ALL)
+SELECT strategy, np, CAST(CASE WHEN count(*) < np THEN 0 ELSE min(work) END AS BIGINT) AS work_min, sum(work)::DOUBLE / np AS work_avg, CAST(max(work) AS BIGINT) AS work_max, round(max(work) / (sum(work)::DOUBLE / np), 6) AS imbalance_ratio FROM e GROUP BY strategy, np"""
+
 ORACLE_SQL["metrics_run_settled"] = f"""{_IVF}, f AS ({_ranked(_IN_LISTS, K)}), g AS ({_ranked(_ALL, K)}), h AS (SELECT count(*) AS n FROM f JOIN g USING (qid, vec_id)),
 cc AS (SELECT pr.qid, count(l.id) AS c FROM pr LEFT JOIN l USING (cid) GROUP BY pr.qid),
 w AS (SELECT t.r, count(d.shard) AS work FROM range({SHARDS}) t(r) LEFT JOIN (SELECT {_BLOCK} AS shard FROM b) d ON d.shard = t.r GROUP BY t.r)

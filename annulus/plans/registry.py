@@ -417,9 +417,8 @@ def partition_sweep(spark, sf_dir):
 ARGUMENTS = ("24", "6", "--iters=3", "--k=bad", "--unknown=1", "--partition=greedy-lists")
 
 
-@query
-def ivf_search_settings(spark, sf_dir):
-    """A search by the settings of a command line, clamped to the table; its query limit takes queries by place (2,000 unless set)."""
+def _by_settings(spark, sf_dir) -> tuple[SearchConfig, DataFrame, DataFrame]:
+    """The clamped settings, the queries that they let in, and what the search finds."""
     b = base(spark, sf_dir)
     n = b.count()
     config = CONFIG.parsed(ARGUMENTS).clamped(n)
@@ -428,7 +427,30 @@ def ivf_search_settings(spark, sf_dir):
     a = kmeans.assign(b, centroids)
     lists = partition.dealt(a, kmeans.list_sizes(a, config.nlist), config.partition, n, config.nlist, config.shards)
     local = search.ivf(lists, kmeans.probes(q, centroids, config.nprobe), config.k, ("shard",))
-    return out(topk.merge(local, config.k).select("qid", "rank", "dist", "vec_id"))
+    return config, q, topk.merge(local, config.k).select("qid", "rank", "dist", "vec_id")
+
+
+@query
+def ivf_search_settings(spark, sf_dir):
+    """A search by the settings of a command line, clamped to the table; its query limit takes queries by place (2,000 unless set)."""
+    return out(_by_settings(spark, sf_dir)[2])
+
+
+@query
+def recall_settings(spark, sf_dir):
+    """One row: recall@k of ``ivf_search_settings`` against exact search of the same queries."""
+    config, q, found = _by_settings(spark, sf_dir)
+    truth = search.exact(base(spark, sf_dir), q, config.k)
+    return evaluate.recall(found, truth, config.k).agg(rounded(F.avg("recall")).alias("recall"))
+
+
+@query
+def search_work_sweep(spark, sf_dir):
+    """How a search's candidates fall to shards, by strategy and number of shards: each list's part in a shard counts once a probe."""
+    n = base(spark, sf_dir).count()
+    a = assigned(spark, sf_dir).select("vec_id", "list_id")
+    probes = probed(spark, sf_dir).groupBy("list_id").agg(F.count(F.lit(1)).alias("probes"))
+    return partition.search_work(a, kmeans.list_sizes(a, CONFIG.nlist), probes, n, CONFIG.nlist, SHARD_COUNTS)
 
 
 # ---- graphs
