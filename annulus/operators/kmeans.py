@@ -78,7 +78,8 @@ def partial_sums(sample: DataFrame, centroids: np.ndarray) -> DataFrame:
                 np.add.at(sums, lists, rows)
                 counts += np.bincount(lists, minlength=len(counts))
         some = np.flatnonzero(counts)
-        yield pd.DataFrame({"list_id": some.astype(np.int32), "n": counts[some], "sums": list(sums[some])})
+        if len(some):
+            yield pd.DataFrame({"list_id": some.astype(np.int32), "n": counts[some], "sums": list(sums[some])})
 
     return sample.select("embedding").mapInPandas(run, "list_id int, n long, sums array<double>")
 

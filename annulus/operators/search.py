@@ -39,6 +39,19 @@ def _local_top(queries: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFram
     return pd.concat(found)
 
 
+def _bin_top(queries: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of each query within those lists of a bin that it probes: one product a list, merged here."""
+    parts = {name: part for name, part in held.groupby("list_id")}
+    found = pd.concat([_local_top(part, parts.get(name, held.iloc[:0]), k) for name, part in queries.groupby("list_id")] or [_local_top(queries, held, k)])
+    if len(parts) < 2:
+        return found
+    qid, dist, vec_id = (found[c].to_numpy() for c in ("qid", "dist", "vec_id"))
+    order = np.lexsort((vec_id, dist, qid))
+    sorted_ids = qid[order]
+    best = order[np.arange(len(order)) - np.searchsorted(sorted_ids, sorted_ids) < k]
+    return found.iloc[best]
+
+
 def local_hits(base: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k nearest within each group of ``keys``: base (keys, vec_id, embedding), queries (keys, qid, qv)."""
     held = base.select(*keys, "vec_id", "embedding").groupBy(*keys)
@@ -87,16 +100,21 @@ def candidates(lists: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def tiles(sizes: DataFrame, probes: DataFrame, of_list: list[str], block: int) -> DataFrame:
-    """of_list, blocks, query_blocks: into how many blocks a probed list's vectors and queries are dealt. Written: a row a list.
+    """of_list, blocks, query_blocks, bin: into how many blocks a probed list's vectors and queries are dealt. Written: a row a list.
 
     ``sizes`` has of_list and list_size. Blocks are dealt by hashes and filled a little less, so that
-    none has more than ``block`` rows but by an odd chance.
+    none has more than ``block`` rows but by an odd chance. Lists of one block share bins, from 0, of about half a
+    block of vectors and of queries; the bin of others is -1.
     """
     fill = max(1.0, block - 6 * block**0.5)
     shared_root(probes.sparkSession)
-    asked = probes.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / fill).cast("int").alias("query_blocks"))
-    there = sizes.where("list_size > 0").select(*of_list, F.ceil(F.col("list_size") / fill).cast("int").alias("blocks"))
-    return there.join(asked, "list_id").checkpoint()
+    asked = probes.groupBy("list_id").agg(F.count(F.lit(1)).alias("asked"))
+    there = sizes.where("list_size > 0").select(*of_list, "list_size").join(asked, "list_id")
+    dealt = there.select(*of_list, "list_size", "asked", F.ceil(F.col("list_size") / fill).cast("int").alias("blocks"), F.ceil(F.col("asked") / fill).cast("int").alias("query_blocks")).checkpoint()
+    small = (F.col("blocks") == 1) & (F.col("query_blocks") == 1)
+    held = dealt.where(small).agg(F.sum("list_size"), F.sum("asked")).first()
+    bins = max(1, -(-2 * max(held[0] or 0, held[1] or 0) // block))
+    return dealt.select(*of_list, "blocks", "query_blocks", F.when(small, F.pmod(F.xxhash64("list_id"), F.lit(bins))).otherwise(F.lit(-1)).cast("int").alias("bin"))
 
 
 def ivf(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...] = (), block: int = 8192, sizes: DataFrame | None = None) -> DataFrame:
@@ -104,7 +122,7 @@ def ivf(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...] = (), b
 
     ``lists`` has list_id, vec_id, embedding; ``probes`` has qid, qv, list_id. A list's vectors and the queries
     that probe it are both dealt into blocks by a hash of their ids, and each pair of blocks is a tile: one
-    matrix product in one task. ``sizes`` (by, list_id, list_size) spares counting the lists. Of lists stored
+    matrix product in one task; tiles of short lists share a task. ``sizes`` (by, list_id, list_size) spares counting the lists. Of lists stored
     by list_id only the probed ones are read.
     """
     hits = tile_hits(lists, probes, k, by, block, sizes).where("qid IS NOT NULL")
@@ -126,20 +144,21 @@ def tile_hits(lists: DataFrame, probes: DataFrame, k: int, by: tuple[str, ...],
         sizes = lists.groupBy(*of_list).agg(F.count(F.lit(1)).alias("list_size"))
     # one row per probed list (and shard), as many as the index has centroids
     dealt = F.broadcast(tiles(sizes, probes, of_list, block).where("query_blocks > 0"))
-    keys = [*of_list, "block", "query_block"]
+    keys = [*by, "bin", "alone", "block", "query_block"]
+    alone = F.when(F.col("bin") < 0, F.col("list_id")).otherwise(F.lit(-1)).alias("alone")
     place = lambda name, parts: F.pmod(F.xxhash64(name), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    held = lists.join(dealt, of_list).withColumn("block", place("vec_id", "blocks")).withColumn("query_block", each("query_blocks"))
-    asked = probes.join(dealt, "list_id").withColumn("query_block", place("qid", "query_blocks")).withColumn("block", each("blocks"))
+    held = lists.join(dealt, of_list).withColumns({"alone": alone, "block": place("vec_id", "blocks")}).withColumn("query_block", each("query_blocks"))
+    asked = probes.join(dealt, "list_id").withColumns({"alone": alone, "query_block": place("qid", "query_blocks")}).withColumn("block", each("blocks"))
     types = dict(lists.dtypes)
 
     def run(key, a, b):
         began = time.perf_counter()
-        found = _local_top(a, b, k).assign(qid=lambda x: x["qid"].astype("Int64"), vec_id=lambda x: x["vec_id"].astype("Int64"))
+        found = _bin_top(a, b, k).astype({"qid": "Int64", "vec_id": "Int64"})
         took = pd.DataFrame({"qid": pd.array([pd.NA], "Int64"), "dist": [(time.perf_counter() - began) * 1e6], "vec_id": pd.array([pd.NA], "Int64")})
         return pd.concat([found, took]).assign(**dict(zip(by, key, strict=False)))[[*by, "qid", "dist", "vec_id"]]
 
-    asked, held = asked.select(*keys, "qid", "qv"), held.select(*keys, "vec_id", "embedding")
+    asked, held = asked.select(*keys, "list_id", "qid", "qv"), held.select(*keys, "list_id", "vec_id", "embedding")
     asked = asked.toDF(*asked.columns)  # names of its own, apart from the lists it was joined with
     schema = ", ".join([*(f"{c} {types[c]}" for c in by), _HITS])
     return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, schema)

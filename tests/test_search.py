@@ -251,6 +251,7 @@ def test_times_are_those_of_shards(spark):
 
 def test_steps_shuffle_a_row_for_each_task_and_list(spark, cloud):
     rows = vectors(spark, cloud).repartition(3)
+    assert kmeans.partial_sums(rows.where("vec_id < 0"), cloud[:5].astype(np.float64)).count() == 0  # tasks without rows
     centroids = cloud[:5].astype(np.float64)
     moved = kmeans.step(rows, centroids, centroids)
     near = kmeans._nearest(cloud.astype(np.float64), centroids)
