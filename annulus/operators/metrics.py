@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import rounded
-from .medians import joined_groups
+from .medians import group_sizes, joined_groups
 from .medians import medians as medians_of
 
 # Fixed values.
@@ -32,7 +32,8 @@ def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left:
     median; flagged runs are removed only if ``least_left`` stay. Medians are exact, and no task holds a
     group: medians and the numbers of runs are one row a group, combined before the shuffle and joined back.
     """
-    medians = medians_of(runs, keys, [m for m, _, _ in OUTLIER_RULES])
+    sizes, few = group_sizes(runs, keys)
+    medians = medians_of(runs, keys, [m for m, _, _ in OUTLIER_RULES], sizes, few)
     middle = {m: F.col(f"__median{i}") for i, (m, _, _) in enumerate(OUTLIER_RULES)}
     slow = F.col("latency_us") > 1.10 * middle["latency_us"]
     reasons = []
@@ -42,9 +43,9 @@ def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left:
             over = over & (middle[metric] > 0) & slow
         reasons.append(F.when(over, F.lit(f"{metric} > {factor:.2f} x median")))
     flags = F.when(F.col("__n") >= least_runs, F.concat_ws("; ", *reasons)).otherwise(F.lit(""))
-    flagged = joined_groups(runs, medians, keys).withColumn("__reasons", flags)
+    flagged = joined_groups(runs, medians, keys, few).withColumn("__reasons", flags)
     left = flagged.groupBy(*keys).agg(F.count(F.when(F.col("__reasons") == "", 1)).alias("__left"))
-    marked = joined_groups(flagged, left, keys).withColumn("__removed", (F.col("__reasons") != "") & (F.col("__left") >= least_left))
+    marked = joined_groups(flagged, left, keys, few).withColumn("__removed", (F.col("__reasons") != "") & (F.col("__left") >= least_left))
     return marked.select(*runs.columns, F.when(F.col("__removed"), F.col("__reasons")).otherwise(F.lit("")).alias("reasons"), F.col("__removed").alias("removed"))
 
 
