@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import rounded
-from .medians import group_sizes, joined_groups
+from .medians import BROADCAST_GROUPS, group_sizes, joined_groups
 from .medians import medians as medians_of
 
 # Fixed values.
@@ -25,16 +25,8 @@ def mean_std(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("used_count"), *pairs)
 
 
-def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left: int = 3) -> DataFrame:
-    """``runs`` with reasons and removed.
-
-    In groups of at least ``least_runs``, a run is flagged if a metric is over its factor of the group's
-    median; flagged runs are removed only if ``least_left`` stay. Medians are exact, and no task holds a
-    group: medians and the numbers of runs are one row a group, combined before the shuffle and joined back.
-    """
-    sizes, few = group_sizes(runs, keys)
-    medians = medians_of(runs, keys, [m for m, _, _ in OUTLIER_RULES], sizes, few)
-    middle = {m: F.col(f"__median{i}") for i, (m, _, _) in enumerate(OUTLIER_RULES)}
+def _flags(middle: dict[str, Column], least_runs: int) -> Column:
+    """The reasons of a run by its group's medians and __n; empty if there are none."""
     slow = F.col("latency_us") > 1.10 * middle["latency_us"]
     reasons = []
     for metric, factor, with_latency in OUTLIER_RULES:
@@ -42,10 +34,41 @@ def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left:
         if with_latency:
             over = over & (middle[metric] > 0) & slow
         reasons.append(F.when(over, F.lit(f"{metric} > {factor:.2f} x median")))
-    flags = F.when(F.col("__n") >= least_runs, F.concat_ws("; ", *reasons)).otherwise(F.lit(""))
-    flagged = joined_groups(runs, medians, keys, few).withColumn("__reasons", flags)
-    left = flagged.groupBy(*keys).agg(F.count(F.when(F.col("__reasons") == "", 1)).alias("__left"))
-    marked = joined_groups(flagged, left, keys, few).withColumn("__removed", (F.col("__reasons") != "") & (F.col("__left") >= least_left))
+    return F.when(F.col("__n") >= least_runs, F.concat_ws("; ", *reasons)).otherwise(F.lit("")).alias("__reasons")
+
+
+def outliers(runs: DataFrame, keys: list[str], least_runs: int = 4, least_left: int = 3, most: int = 100_000) -> DataFrame:
+    """``runs`` with reasons and removed.
+
+    In groups of at least ``least_runs``, a run is flagged if a metric is over its factor of the group's
+    median; flagged runs are removed only if ``least_left`` stay. Medians are exact. Runs are counted by group first:
+    groups of up to ``most`` runs take one shuffle, by the keys, and windows of that size; of larger ones no task holds a
+    group, as medians and counts are one row a group, combined before the shuffle and joined back.
+    """
+    metrics = [m for m, _, _ in OUTLIER_RULES]
+    middle = {m: F.col(f"__median{i}") for i, m in enumerate(metrics)}
+    kept = F.count(F.when(F.col("__reasons") == "", 1))
+
+    def by_windows(some: DataFrame) -> DataFrame:
+        group = Window.partitionBy(*keys)
+        held = some.withColumns({"__n": F.count(F.lit(1)).over(group)} | {f"__median{i}": F.median(m).over(group) for i, m in enumerate(metrics)})
+        return held.select("*", _flags(middle, least_runs)).withColumn("__left", kept.over(group))
+
+    def by_joins(some: DataFrame, sizes: DataFrame, few: bool) -> DataFrame:
+        flagged = joined_groups(some, medians_of(some, keys, metrics, sizes, few, most), keys, few).select("*", _flags(middle, least_runs))
+        return joined_groups(flagged, flagged.groupBy(*keys).agg(kept.alias("__left")), keys, few)
+
+    sizes, _ = group_sizes(runs, keys)
+    large = sizes.where(F.col("__n") > most)
+    number = large.count()
+    if not number:
+        found = by_windows(runs)
+    else:
+        few = number <= BROADCAST_GROUPS
+        marked = joined_groups(runs, large.select(*keys, F.lit(True).alias("__large")), keys, few, "left")
+        small, crowded = (marked.where(x).drop("__large") for x in (F.col("__large").isNull(), F.col("__large").isNotNull()))
+        found = by_windows(small).unionByName(by_joins(crowded, large, few))
+    marked = found.withColumn("__removed", (F.col("__reasons") != "") & (F.col("__left") >= least_left))
     return marked.select(*runs.columns, F.when(F.col("__removed"), F.col("__reasons")).otherwise(F.lit("")).alias("reasons"), F.col("__removed").alias("removed"))
 
 

@@ -195,6 +195,7 @@ ORACLE_SQL |= {
     "metrics_pick": f"{_RUNS}, {_MEANS} SELECT * FROM means WHERE \"group\" = 'R' AND np = 4",
     "metrics_best_config": f"{_RUNS}, {_MEANS} SELECT * FROM means ORDER BY latency_us_mean, {_KEYS} LIMIT 1",
     "metrics_partition_order": f"{_RUNS}, {_MEANS} SELECT {_KEYS}, CAST(coalesce(list_position(['cyclic', 'block-id'], partition), 0) AS INTEGER) AS position FROM means",
+    "metrics_report": f"{_RUNS}, {_MEANS}, m AS (SELECT concat_ws('/', \"group\", partition, CAST(np AS VARCHAR)) AS label, * FROM means) SELECT label, CAST(t.i AS INTEGER) AS place, ['label: ' || label, 'group: ' || \"group\", 'partition: ' || partition, 'np: ' || np, 'runs: ' || runs][t.i + 1] AS line FROM m, range(5) t(i)",
     "metrics_union": f"{_RUNS}, {_MEANS} SELECT * FROM means WHERE \"group\" IN ('A', 'R')",
     "metrics_latest_run": "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 1",
     "metrics_stage_avg": f'{_RUNS}, r AS (SELECT "group", run_id, avg(search_max_us) AS a, max(search_max_us) AS m, sum(gather_us) AS g FROM runs GROUP BY "group", run_id) SELECT "group", round(avg(a), 4) + 0.0 AS search_avg_us, round(avg(m), 4) + 0.0 AS search_max_us, round(avg(g), 4) + 0.0 AS gather_us FROM r GROUP BY "group"',

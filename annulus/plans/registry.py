@@ -571,6 +571,13 @@ def metrics_partition_order(spark, sf_dir):
     return metrics.ordered(_means(spark, sf_dir), "partition", ["cyclic", "block-id"]).select(*KEYS, "position")
 
 
+@query
+def metrics_report(spark, sf_dir):
+    """A report of every configuration: its settings and number of runs as lines."""
+    label = F.concat_ws("/", *(F.col(c).cast("string") for c in KEYS)).alias("label")
+    return run_records.described(_means(spark, sf_dir).select(label, *KEYS, "runs"), "label")
+
+
 @query
 def metrics_union(spark, sf_dir):
     means = _means(spark, sf_dir)

@@ -12,7 +12,10 @@ def test_outlier_rules(spark):
     three = [(20, "three", 100.0, 1.0, 1.0), (21, "three", 100.0, 1.0, 1.0), (22, "three", 900.0, 1.0, 1.0)]
     gather = [(30 + i, "gather", 100.0, 10.0, 50.0) for i in range(4)] + [(34, "gather", 112.0, 50.0, 50.0), (35, "gather", 105.0, 90.0, 50.0)]
     slow = [(40 + i, "search", 100.0, 0.0, 50.0) for i in range(4)] + [(44, "search", 112.0, 0.0, 70.0)]
-    got = {r.run_id: r for r in metrics.outliers(spark.createDataFrame(five + four + three + gather + slow, SCHEMA), ["g"]).collect()}
+    df = spark.createDataFrame(five + four + three + gather + slow, SCHEMA)
+    got = {r.run_id: r for r in metrics.outliers(df, ["g"]).collect()}
+    for most in (0, 4):  # all groups, or those over four runs, by joins
+        assert {r.run_id: r for r in metrics.outliers(df, ["g"], most=most).collect()} == got
     assert {i for i, r in got.items() if r.removed} == {4, 34, 44}
     assert got[4].reasons.startswith("latency_us") and got[34].reasons == "gather_us > 4.00 x median" and got[44].reasons == "search_max_us > 1.30 x median"
     assert not got[12].reasons  # kept, since fewer than three would be left
