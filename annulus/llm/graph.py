@@ -9,7 +9,9 @@ from .common import cut
 
 
 def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+    # a written table's partitions are read some at a time: what they are combined into is one row a task
+    parts = edges.rdd.getNumPartitions()
+    row = edges.coalesce(max(16, parts // 16)).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row.n, row.x
 
 
@@ -26,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         # larger neighbours of each node go to the least of its neighbourhood
-        large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # smaller neighbours and the node itself go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
