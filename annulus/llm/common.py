@@ -14,6 +14,7 @@ from ..sources.scratch import shared_root
 #: A word is a longest run of anything but space, tab, line feed, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 _ROW_BITS = 33  # of monotonically_increasing_id, below the partition's number
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def id_text() -> Column:
@@ -43,9 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the cluster's shared checkpoint folder and drops its lineage."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Materialises ``df`` in the cluster's shared checkpoint folder and drops its lineage.
+
+    Its shuffle files go when it is written: a job of many steps holds those of one step at a time. Nothing else reads
+    them, since the plan that wrote them is made here and run once.
+    """
+    spark = df.sparkSession
+    shared_root(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        once = df.select("*")  # a plan takes the setting when it is made
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return once.checkpoint()
 
 
 def quoted(name: str) -> str:
