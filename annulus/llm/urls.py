@@ -4,7 +4,8 @@ A host's and a path's runs of letters, often words written together, are split b
 over the word counts of the pages' own text. Counts are not gathered anywhere: each distinct run is
 joined by its substrings to the words it may hold, so a task needs the few counts of one run at a
 time. Only lengths that some word has are tried, and none is too long: an unknown word may be as long
-as its run. The words of host and path, and a token for each number's count of digits, are the tokens
+as its run. Long runs are cut into parts, which overlap by the longest word less a letter; their substrings carry
+the run's digest, 128 bits, and not the run. The words of host and path, and a token for each number's count of digits, are the tokens
 of a multinomial naive Bayes, fitted on the urls that rules judge.
 
 Distinct hosts and paths, and not pages, are split and scored, and counts per host or path and class
@@ -34,6 +35,7 @@ _NO_LETTERS = r"[^\p{L}\p{M}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are one expression; more are joined.
 INLINE_RULES = 64
+_PART = 256  # letters of a run at which the words of a part start
 
 
 @dataclass(frozen=True)
@@ -119,14 +121,20 @@ def segmented(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     size = F.length("word")
     # lengths of words that fit into some piece: no more than the longest piece has letters
     sizes = sorted(r[0] for r in counts.where(size <= longest).select(size).distinct().collect())
-    pieces_known = pieces.select("piece", F.lit(None).cast("array<struct<word: string, n: bigint>>").alias("known"))
+    # a piece goes by its digest: its substrings would each carry all of it
+    held = pieces.select(F.unhex(F.md5(F.col("piece").cast("binary"))).alias("id"), "piece")
+    pieces_known = held.select("piece", F.lit(None).cast("array<struct<word: string, n: bigint>>").alias("known"))
     if sizes:
-        start = pieces.where(F.length("piece") > 0).select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("start"))
-        fitting = F.filter(F.array(*map(F.lit, sizes)), lambda s: s <= F.length("piece") - F.col("start") + 1)
-        inside = start.select("piece", "start", F.explode(fitting).alias("size"))
-        words = inside.select("piece", F.col("piece").substr(F.col("start"), F.col("size")).alias("word")).distinct()
-        known = words.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # substrings of one piece
-        pieces_known = pieces.join(known, "piece", "left").select("piece", "known")
+        # a part has _PART letters at which words start, and as many more as a word from the last of them can reach
+        nth = F.explode(F.sequence(F.lit(0), F.floor((F.length("piece") - 1) / _PART).cast("int")))
+        parts = held.where(F.length("piece") > 0).select("id", "piece", nth.alias("nth"))
+        parts = parts.select("id", F.col("piece").substr(F.col("nth") * _PART + 1, F.lit(_PART + sizes[-1] - 1)).alias("part"))
+        start = parts.select("id", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(_PART), F.length("part")))).alias("start"))
+        fitting = F.filter(F.array(*map(F.lit, sizes)), lambda s: s <= F.length("part") - F.col("start") + 1)
+        inside = start.select("id", "part", "start", F.explode(fitting).alias("size"))
+        words = inside.select("id", F.col("part").substr(F.col("start"), F.col("size")).alias("word")).distinct()
+        known = words.join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # substrings of one piece
+        pieces_known = held.join(known, "id", "left").select("piece", "known")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -116,6 +116,16 @@ def test_viterbi_is_the_best_of_all_splits():
     assert urls.viterbi("q" * 90, {"a": 1}, 1000) == ["q" * 90]
 
 
+def test_long_pieces_are_split_over_their_seams(spark):
+    r = random.Random(8)
+    counts = {"cheap": 9, "pills": 7, "news": 20, "paper": 12, "newspaper": 6, "köln": 3, "новости": 5, "w" * 300: 2}
+    pieces = ["", "a", "news", "w" * 300, "q" * 700, "".join(r.choices(list(counts), k=400)), "newspaper" * 8000]
+    pieces += ["x" * n + "newspaper" + "y" * 5 for n in range(urls._PART - 10, urls._PART + 2)]  # at a seam
+    frame = spark.createDataFrame([(p,) for p in pieces], "piece string")
+    got = {x.piece: x.words for x in urls.segmented(frame, spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    assert got == {p: urls.viterbi(p, counts, sum(counts.values())) for p in pieces}
+
+
 def test_verdicts_brute_force(spark):
     """Segmentation, tokens and log-odds of every page against a plain version."""
     import re
