@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,16 @@ RADIUS = 2
 _BLOCKS, _WIDTH = 4, 16
 
 
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the 64-bit hashes each bit is set."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(votes: np.ndarray, n: int) -> int:
+    """The fingerprint, unsigned: a bit is 1 if it is set in over half of ``n`` hashes."""
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

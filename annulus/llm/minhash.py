@@ -1,9 +1,13 @@
-"""Near copies by exact similarity: MinHash bands retrieve candidates, Jaccard of the shingle sets judges them.
+"""Near copies by exact similarity: SimHash blocks and MinHash bands retrieve candidates, Jaccard of the shingle sets judges them.
 
 Words and shingles are those of neardup: ``width`` words of the ASCII-lower-cased text, the whole sequence where there
 are fewer. Similarity is shared distinct shingles over all distinct shingles of two texts, compared by
 their XXH64. Texts link if it is ``least`` or more, and chains of links are groups.
 
+First come the texts whose SimHash fingerprints, of the same shingles, differ in at most two bits: they are found by
+pigeonhole blocks and verified by their distance (hamming), as in op8. Most pairs near ``least`` differ in more bits,
+some ten of 64, so bands bring the others.
+
 48 bands of six seeded minima: two texts of similarity 0.8 agree in no band with probability
 (1 - 0.8 ** 6) ** 48, less than one in a million. Texts that share a band's key share a bucket. Pairs of
 a bucket aren't enumerated: each text is compared with the bucket's first one, then with its last,
@@ -32,23 +36,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hamming
 from .common import cut, id_back, id_text, text_digest
 from .graph import components
 
 BANDS, ROWS = 48, 6
 _CHUNK = 128  # shingles times minima at once: small enough for a core's cache
 _COLUMNS = 4096
+_VOTERS = 1 << 15
 
 
-def shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+def hashed(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the text's shingles, repeats included; of a blank text none."""
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     line, digest = memoryview(b" ".join(words)), xxhash.xxh64_intdigest
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: max(1, len(words) - width + 1)].tolist() or [0]
-    ends = ends[min(width, len(words)) - 1 :].tolist() or [0]
-    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64))
+    starts = (ends - lengths)[: max(1, len(words) - width + 1)].tolist()
+    ends = ends[min(width, len(words)) - 1 :].tolist() if words else []
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def distinct(hashes: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes; without any, that of the empty shingle."""
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", seed)], np.uint64)
+
+
+def shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return distinct(hashed(text, width, seed), seed)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash (signed long) of hashes with repeats, as neardup.simhash has it; 0 without any."""
+    votes = sum((hamming.votes(hashes[at : at + _VOTERS]) for at in range(0, len(hashes), _VOTERS)), np.zeros(64, np.int64))
+    return int(np.uint64(hamming.majority(votes, len(hashes))).view(np.int64))
 
 
 def _seeds(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,14 +208,32 @@ def _met(open_: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return met.join(sets.join(of, "content"), "content")
 
 
+def _by_fingerprint(texts: DataFrame) -> DataFrame:
+    """(u, v), u > v, of texts (content, fp): those of one fingerprint with the first of them, and the first ones of fingerprints that differ in at most two bits."""
+    firsts = cut(texts.groupBy("fp").agg(F.min("content").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = texts.join(firsts.where("n > 1"), "fp").where("content <> first").select(F.col("content").alias("u"), F.col("first").alias("v"))
+    of = firsts.select("fp", "first")
+    near = hamming.edges(firsts.select("fp")).join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return same.unionByName(near).distinct()
+
+
+def _by_bands(texts: DataFrame) -> DataFrame:
+    """content, band and root, the bucket's first text, of the texts (content, bands) that share a bucket."""
+    placed = texts.select("content", F.explode("bands").alias("band")).distinct()
+    roots = placed.groupBy("band").agg(F.min("content").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return placed.join(roots, "band").select("content", "band", "root")
+
+
 def content_groups(docs: DataFrame, width: int, seed: int = 42, least: float = 0.8, block: int = 256) -> DataFrame:
     """doc_id, content (the text's digest) and component of every row; a component is the digest of one text that it holds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = _seeds(seed)
         for batch in batches:
-            batch["bands"] = [bands(shingles(t, width, seed), seeds) for t in batch["text"]]
-            yield batch[["doc_id", "digest", "bands"]]
+            hashes = [hashed(t, width, seed) for t in batch["text"]]
+            batch["fp"] = np.array([fingerprint(h) for h in hashes], np.int64)
+            batch["bands"] = [bands(distinct(h, seed), seeds) for h in hashes]
+            yield batch[["doc_id", "digest", "fp", "bands"]]
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,17 +245,19 @@ def content_groups(docs: DataFrame, width: int, seed: int = 42, least: float = 0
         return pd.DataFrame({"u": pd.Series([u for u, _ in found], dtype="int64"), "v": pd.Series([v for _, v in found], dtype="int64")})
 
     rows = docs.select(id_text(), "text", text_digest(F.col("text")).alias("digest"))
-    prints = cut(id_back(rows.mapInPandas(run, "doc_id string, digest binary, bands array<long>")).withColumn("row", F.monotonically_increasing_id()))
+    prints = cut(id_back(rows.mapInPandas(run, "doc_id string, digest binary, fp long, bands array<long>")).withColumn("row", F.monotonically_increasing_id()))
     # a text goes by the number of one of its rows: as exact as its digest, and half as long
-    texts = prints.groupBy("digest").agg(F.min("row").alias("content"), F.min("doc_id").alias("at"), F.first("bands").alias("bands"))
-    placed = texts.select("content", "at", F.explode("bands").alias("band")).distinct()
-    roots = placed.groupBy("band").agg(F.min("content").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(placed.join(roots, "band").select("content", "at", "band", "root"))
-    # one document for each text that shares a bucket
-    one = members.select("content", "at").distinct().join(texts.select("content", F.col("digest").alias("of")), "content")
+    texts = prints.groupBy("digest").agg(F.min("row").alias("content"), F.min("doc_id").alias("at"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    near = cut(_by_fingerprint(texts.select("content", "fp")))
+    members = cut(_by_bands(texts.select("content", "bands")))
+    # one document for each text that has a candidate
+    asked = members.select("content").union(near.select("u")).union(near.select("v")).distinct()
+    one = asked.join(texts.select("content", "at", F.col("digest").alias("of")), "content")
     held = docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest")).join(one, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at")))
     sets = cut(held.select("content", "text").mapInPandas(shingled, "content long, shingles array<long>").dropDuplicates(["content"]))
-    found = cut(_verified(members.where("content <> root").select(F.col("content").alias("u"), F.col("root").alias("v")).distinct(), sets, least))
+    found = cut(_verified(near, sets, least))
+    firsts = members.where("content <> root").select(F.col("content").alias("u"), F.col("root").alias("v")).distinct().join(found, ["u", "v"], "left_anti")
+    found = cut(found.unionByName(_verified(firsts, sets, least)))
     members = members.select("content", "band")
     linked = components(found)
     open_ = cut(_labelled(members, linked))

@@ -41,9 +41,8 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     ends = ends[min(width, len(words)) - 1 :].tolist()
     votes, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), _CHUNK):
-        hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view("<u8")[0])
+        votes += hamming.votes(np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], "<u8"))
+    return hamming.majority(votes, len(starts))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -74,7 +73,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
 
 
 def deduplicated(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id, a null id last; of equal ids, the smallest digest of the text."""
+    """``docs`` with one document of each group: that with the smallest id, a null id last; of equal ids, the smallest digest of the text.
+
+    Fingerprints retrieve first, by the same blocks and verified distance; similarity judges, and bands bring the
+    pairs whose fingerprints are further apart.
+    """
     return first_of_groups(docs, minhash.content_groups(docs, width, seed, least))
 
 

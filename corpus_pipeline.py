@@ -31,7 +31,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: texts whose sets of five-word shingles have similarity 0.8 or more.
 
-    The smallest id stays, a null one only if there is no other; of equal ids one text, and of repeated rows one
+    SimHash fingerprints retrieve through blocks and verified distance, and MinHash bands what is beyond two bits; exact
+    similarity judges all. The smallest id stays, a null one only if there is no other; of equal ids one text, and of repeated rows one
     row, is chosen by its content. Null, empty and blank texts are one group.
     """
     return neardup.deduplicated(docs, width=5, least=0.8)

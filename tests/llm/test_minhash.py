@@ -102,3 +102,23 @@ def test_chains_of_buckets_compare_within_buckets_only(spark):
         names = part["content"].tolist()
         pairs += [tuple(sorted((names[left[x]], names[right[y]]))) for x, y in zip(*asked.nonzero())]
     assert 0 < len(pairs) == len(set(pairs)) <= len(sharing) < 300 * 299 // 2 // 10
+
+
+def test_fingerprints_retrieve(spark, monkeypatch):
+    """Without any band, the stage still links what fingerprints within two bits retrieve and similarity confirms."""
+    from annulus.llm import neardup
+
+    r, texts = random.Random(8), ["", " ", None, "x y", "X  Y"]
+    for i in range(30):
+        base = prose(700, 7000 + i)
+        texts += [base, edited(base, 1 + i % 2, r)]
+    prints = [neardup.simhash(t, 5) for t in texts]
+    for t, p in zip(texts, prints, strict=True):
+        assert minhash.fingerprint(minhash.hashed(t, 5)) % (1 << 64) == p
+    near = [i for i in range(5, len(texts), 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2]
+    assert 3 < len(near) < 30  # both kinds are there
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    bands = minhash._by_bands
+    monkeypatch.setattr(minhash, "_by_bands", lambda texts: bands(texts).where("false"))
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(range(len(texts))) - {1, 2, 4} - {i + 1 for i in near}
