@@ -200,6 +200,27 @@ def test_graph_recall(spark, cloud):
     assert hnsw.search(hnsw.build(few, 4, 10), q, 10, 10).groupBy("qid").count().where("count <> 3").count() == 0
 
 
+def test_queries_walk_a_graph_together(cloud):
+    """All queries at once find what each finds alone, and what is nearest; ids need not be places."""
+    ids, rows = np.arange(400)[::-1] * 3, cloud.astype(np.float64)
+    graph = hnsw.Graph.build(ids, rows, 12, 80)
+    truth = [(q, i) for q, _, i in brute(cloud[::-1], cloud, 10)]
+    for at_once in (1, 1 << 12, 1 << 20):
+        place, dist, found = graph.search_all(rows, 10, 100, at_once)
+        best = hnsw.nearest(place, dist, found, 10)
+        assert len(best) == 4000 and (np.diff(place[best]) >= 0).all()
+        assert np.isin(place[best] * 10_000 + found[best], [q * 10_000 + 3 * i for q, i in truth]).mean() >= 0.999
+    assert all(len(x) == 0 for x in hnsw.Graph.build(ids[:0], rows[:0], 4, 10).search_all(rows, 10, 10))  # no node, no hit
+
+
+def test_shards_share_tasks(spark, cloud):
+    """More shards than tasks: a query meets each of them once, and many blocks of queries do."""
+    b, q = vectors(spark, cloud), asked(spark, cloud)
+    graphs = hnsw.build(partition.owned(b, "random-hash", len(cloud), 70), 8, 40).checkpoint()
+    for block in (50, 4096):
+        assert tuples(hnsw.search(graphs, q, 10, 40, block)) == brute(cloud, cloud, 10)
+
+
 # ---- tiles, stored lists, timings
 
 
