@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import hamming
 from .common import cut, id_back, id_text, text_digest
-from .graph import components
+from .graph import components, merged
 
 BANDS, ROWS = 48, 6
 _CHUNK = 128  # shingles times minima at once: small enough for a core's cache
@@ -155,21 +155,21 @@ def cell_links(cell: pd.DataFrame, band: int | None, least: float) -> list[tuple
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles have similarity ``least`` or more."""
+    """The rows of pairs (u, v, ...) whose sets of shingles have similarity ``least`` or more."""
     n = sets.select("content", F.size("shingles").alias("n"))
     a, b = n.toDF("u", "n_u"), n.toDF("v", "n_v")
     # sizes first: of sets that differ too much in size, none is moved
     some = pairs.join(a, "u").join(b, "v").where(F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v"))
     held = some.join(sets.toDF("u", "of_u"), "u").join(sets.toDF("v", "of_v"), "v")
     shared = F.size(F.array_intersect("of_u", "of_v"))
-    return held.select("u", "v", "n_u", "n_v", shared.alias("shared")).where(F.col("shared") / (F.col("n_u") + F.col("n_v") - F.col("shared")) >= F.lit(least)).select("u", "v")
+    return held.select(*pairs.columns, "n_u", "n_v", shared.alias("shared")).where(F.col("shared") / (F.col("n_u") + F.col("n_v") - F.col("shared")) >= F.lit(least)).select(*pairs.columns)
 
 
 def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """Members (content, band) of the buckets that hold several groups of ``linked``, with their group as label."""
+    """Members (content, band) of the buckets that hold several groups of ``linked``, with their group as label, and with the bucket's first and last text and that one's group."""
     named = members.join(linked.toDF("content", "label"), "content", "left").select("content", "band", F.coalesce("label", "content").alias("label"))
-    several = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("content").alias("first"), F.max("content").alias("last")).where("a < b")
-    return named.join(several.select("band", "first", "last"), "band")
+    several = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("content").alias("first"), F.max("content").alias("last"), F.max_by("label", "content").alias("last_label")).where("a < b")
+    return named.join(several.select("band", "first", "last", "last_label"), "band")
 
 
 def _cells(members: DataFrame, cell: str, block: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _by_fingerprint(texts: DataFrame) -> DataFrame:
     firsts = cut(texts.groupBy("fp").agg(F.min("content").alias("first"), F.count(F.lit(1)).alias("n")))
     same = texts.join(firsts.where("n > 1"), "fp").where("content <> first").select(F.col("content").alias("u"), F.col("first").alias("v"))
     of = firsts.select("fp", "first")
-    near = hamming.edges(firsts.select("fp")).join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    near = cut(hamming.edges(firsts.select("fp"))).join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     return same.unionByName(near).distinct()
 
 
@@ -241,7 +241,8 @@ def content_groups(docs: DataFrame, width: int, seed: int = 42, least: float = 0
             yield batch[["content", "shingles"]]
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [x for (whole, cell), part in rows.groupby(["whole", "cell"]) for x in cell_links(part, None if whole else cell, least)]
+        label = dict(zip(rows["content"].tolist(), rows["label"].tolist(), strict=True))
+        found = [(label[u], label[v]) for (whole, cell), part in rows.groupby(["whole", "cell"]) for u, v in cell_links(part, None if whole else cell, least)]
         return pd.DataFrame({"u": pd.Series([u for u, _ in found], dtype="int64"), "v": pd.Series([v for _, v in found], dtype="int64")})
 
     rows = docs.select(id_text(), "text", text_digest(F.col("text")).alias("digest"))
@@ -255,19 +256,17 @@ def content_groups(docs: DataFrame, width: int, seed: int = 42, least: float = 0
     one = asked.join(texts.select("content", "at", F.col("digest").alias("of")), "content")
     held = docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest")).join(one, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at")))
     sets = cut(held.select("content", "text").mapInPandas(shingled, "content long, shingles array<long>").dropDuplicates(["content"]))
-    found = cut(_verified(near, sets, least))
-    firsts = members.where("content <> root").select(F.col("content").alias("u"), F.col("root").alias("v")).distinct().join(found, ["u", "v"], "left_anti")
-    found = cut(found.unionByName(_verified(firsts, sets, least)))
+    firsts = members.where("content <> root").select(F.col("content").alias("u"), F.col("root").alias("v"))
+    linked = components(_verified(near.unionByName(firsts).distinct(), sets, least))
     members = members.select("content", "band")
-    linked = components(found)
     open_ = cut(_labelled(members, linked))
+    # from here on groups are connected, by links between them
     if not open_.isEmpty():
-        more = _verified(open_.where("content <> last").select(F.col("content").alias("u"), F.col("last").alias("v")).distinct(), sets, least)
-        found = cut(found.unionByName(more))
-        open_ = cut(_labelled(open_.select("content", "band"), components(found)))
+        lasts = open_.where("label <> last_label").select(F.col("content").alias("u"), F.col("last").alias("v"), "label", "last_label").distinct()
+        linked = merged(linked, _verified(lasts, sets, least).select(F.col("label").alias("u"), F.col("last_label").alias("v")))
+        open_ = cut(_labelled(open_.select("content", "band"), linked))
         if not open_.isEmpty():
-            found = cut(found.unionByName(_met(open_, sets, block).groupBy("large", "deal", "i", "j").applyInPandas(judge, "u long, v long")))
-        linked = components(found)
+            linked = merged(linked, _met(open_, sets, block).groupBy("large", "deal", "i", "j").applyInPandas(judge, "u long, v long"))
     known = texts.select("content", "digest")
     named = linked.join(known.toDF("node", "content"), "node").join(known.toDF("component", "root"), "component").select("content", F.col("root").alias("component"))
     return prints.select("doc_id", F.col("digest").alias("content")).join(named, "content", "left").select("doc_id", "content", F.coalesce("component", "content").alias("component"))

@@ -122,3 +122,50 @@ def test_fingerprints_retrieve(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_by_bands", lambda texts: bands(texts).where("false"))
     kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == set(range(len(texts))) - {1, 2, 4} - {i + 1 for i in near}
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars are written once and looked at once; a chain still takes its rounds."""
+    from annulus.llm import graph
+
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df.columns) or cut(df))
+    stars = [(u, u - u % 10) for u in range(200) if u % 10]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {u: u - u % 10 for u in range(200)} and len(written) == 2
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame([(u, u + 1) for u in range(9)], "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(10), 0) and len(written) > 4
+
+
+def test_merged_components(spark):
+    """Links between components connect them, also those of single nodes; the others stay."""
+    from annulus.llm import graph
+
+    linked = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(5, 1), (5, 3), (1, 5)], "u long, v long")
+    got = sorted(map(tuple, graph.merged(linked, links).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (8, 8), (9, 8)]
+    assert sorted(map(tuple, graph.merged(linked, links.where("false")).collect())) == sorted(map(tuple, linked.collect()))
+
+
+def test_groups_are_connected_once(spark, monkeypatch):
+    """Once texts are connected by candidates, later steps connect groups: no step is given all links again."""
+    from annulus.llm import graph
+
+    r, base = random.Random(9), prose(120, 11)
+    texts = [base, *(edited(base, r.randint(1, 5), r) for _ in range(120)), *(prose(100, 8000 + i) for i in range(20))]
+    given, found = [], graph.components
+
+    def kept(edges):
+        given.append([tuple(x) for x in edges.where("u <> v").collect()])
+        return found(edges)
+
+    monkeypatch.setattr(graph, "components", kept)
+    monkeypatch.setattr(minhash, "components", kept)
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    groups = minhash.content_groups(docs, 5)
+    assert groups.select("component").distinct().count() == len(brute(list(enumerate(texts))))
+    first = {tuple(sorted(x)) for x in given[0]}
+    assert len(given) > 1 and len(first) > 50
+    for later in (given[1], given[-1]):
+        assert len(later) < len(first) and not first & {tuple(sorted(x)) for x in later}
